@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siftstone.plans import chunk_queries, graph_queries, merge_queries, mode_queries, parse_queries, rank_queries, text_queries, vector_queries
+from siftstone.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (text_queries, vector_queries, rank_queries, chunk_queries, graph_queries, parse_queries, merge_queries, mode_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
