@@ -68,14 +68,15 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
         while donor and moved and (open_ or stuck):
             targets = open_ + stuck
             room = capacity - np.array([int(lengths[b].sum()) for b in targets])
+            least = room - (capacity - int(lengths[donor].sum()))
             best = (0, None)
             sizes = lengths[donor]
-            pick = _move(donor, sizes, room)
+            pick = _move(donor, sizes, room, least)
             if pick[0] > best[0]:
                 best = pick
             if not best[1]:
                 for kind in (_one_for_one, _two_for_one):
-                    pick = kind(donor, targets, room, lengths)
+                    pick = kind(donor, targets, room, least, lengths)
                     if pick[0] > best[0]:
                         best = pick
             moved = best[1] is not None
@@ -92,8 +93,9 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return full + stuck
 
 
-def _move(donor, sizes, room):
-    gain = np.where(sizes[:, None] <= room[None, :], sizes[:, None], 0)
+def _move(donor, sizes, room, least):
+    """least: tokens that a target must gain more than, so that the squares' sum rises (negative where it is fuller)."""
+    gain = np.where((sizes[:, None] <= room[None, :]) & (sizes[:, None] > least[None, :]), sizes[:, None], 0)
     if not gain.size or not gain.max():
         return 0, None
     gain = np.where(gain == gain.max(), capacity_rank(room)[None, :], -1)
@@ -106,25 +108,25 @@ def capacity_rank(room: np.ndarray) -> np.ndarray:
     return room.max() - room
 
 
-def _one_for_one(donor, targets, room, lengths):
+def _one_for_one(donor, targets, room, least, lengths):
     items = np.array([i for b in targets for i in b])
     owner = np.repeat(np.arange(len(targets)), [len(b) for b in targets])
     gain = lengths[donor][:, None] - lengths[items][None, :]
-    gain = np.where((gain > 0) & (gain <= room[owner][None, :]), gain, 0)
+    gain = np.where((gain > np.maximum(least[owner], 0)[None, :]) & (gain <= room[owner][None, :]), gain, 0)
     if not gain.max():
         return 0, None
     x, y = np.unravel_index(gain.argmax(), gain.shape)
     return int(gain[x, y]), (int(owner[y]), (donor[x],), (int(items[y]),))
 
 
-def _two_for_one(donor, targets, room, lengths):
+def _two_for_one(donor, targets, room, least, lengths):
     best = (0, None)
     if len(donor) > 1:
         a, b = _pairs(donor)
         items = np.array([i for t in targets for i in t])
         owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
         gain = (lengths[a] + lengths[b])[:, None] - lengths[items][None, :]
-        gain = np.where((gain > 0) & (gain <= room[owner][None, :]), gain, 0)
+        gain = np.where((gain > np.maximum(least[owner], 0)[None, :]) & (gain <= room[owner][None, :]), gain, 0)
         if gain.max():
             x, y = np.unravel_index(gain.argmax(), gain.shape)
             best = int(gain[x, y]), (int(owner[y]), (int(a[x]), int(b[x])), (int(items[y]),))
@@ -133,7 +135,7 @@ def _two_for_one(donor, targets, room, lengths):
             continue
         a, b = _pairs(target)
         gain = lengths[donor][:, None] - (lengths[a] + lengths[b])[None, :]
-        gain = np.where((gain > 0) & (gain <= room[k]), gain, 0)
+        gain = np.where((gain > max(least[k], 0)) & (gain <= room[k]), gain, 0)
         if gain.max() > best[0]:
             x, y = np.unravel_index(gain.argmax(), gain.shape)
             best = int(gain[x, y]), (k, (donor[x],), (int(a[y]), int(b[y])))
