@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siftstone.functions import text as T
 from siftstone.functions.text import document_id
@@ -42,7 +43,7 @@ def raw_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     return named.select("key", F.element_at(F.split("key", "/"), -1).alias("name"), F.lower(F.regexp_extract("key", r"\.([^./]+)$", 1)).alias("file_type"), "content", F.sha2("content", 256).alias("content_sha256"), document_id(F.col("content")).alias("document_id"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of bytes in the first encoding that fits."""
 
