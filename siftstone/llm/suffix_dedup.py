@@ -1,14 +1,17 @@
 """Repeated passages, found by a logarithmic family of suffix arrays.
 
-A passage is repeated if a window of `MIN_WORDS` consecutive words also stands in another document. Suffixes are
-ordered by the fingerprint of their leading words, so that suffixes with an equal beginning are neighbours, and the
-arrays are sparse: they hold the suffixes at winnowed places, of which every window of MIN_WORDS words has one.
+A passage is repeated if a window of `MIN_WORDS` consecutive words also stands in an earlier document (by doc_id).
+Suffixes are ordered by the fingerprint of their leading words, so that suffixes with an equal beginning are neighbours,
+and the arrays are sparse: the windows of a text whose least suffix is the same form a cell, and a cell has one entry,
+with that suffix's fingerprint (the mark), the fingerprint of all its words (the span) and its place. Equal windows have
+equal marks.
 
 The family: a new batch of documents gets its suffix array, which is merge-scanned against each existing level for
 equal beginnings; then it enters at level 0, and while two levels have the same rank they merge into one of the next
-rank. The family is sharded by fingerprint range, one task per shard; a shard's levels can be stored and given to the
-next run. Places whose suffix met another document are then compared word by word: all windows around them are
-fingerprinted at full length, and a window is a repeat if an earlier document (by doc_id) has the same one.
+rank. The family is sharded by fingerprint, one task per shard; a shard's levels can be stored and given to the next run.
+Cells that met another document's are then decided: a cell whose whole span stands in an earlier document is repeated
+from end to end; where spans differ, the first document of each span has its cell's windows compared one by one at full
+length. Only those windows travel, not those of whole copies.
 
 Defined cases: words as in textkernel (case and punctuation are ignored); rows of one doc_id are one document and do not
 repeat each other; null doc_ids and null or short texts never repeat; texts of any length are read whole; an empty table
@@ -22,140 +25,214 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import fresh, materialize, pieces, sized_lists, slices
+from siftstone.llm.common import fresh, materialize, pieces, row_key, slices
 
 MIN_WORDS, LEAD, BATCHES = 50, 25, 8
+#: A place in a document: number of the first window's first word, and the number of windows.
+_BITS = 32
 
 
-def suffixes(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: int = LEAD) -> Iterator[pa.RecordBatch]:
-    """(batch, doc, text) -> (batch, doc, place, mark): the winnowed suffixes and the fingerprints of their leading words."""
+def cells(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: int = LEAD) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> (doc, place, mark, span): a row for each run of windows with the same least suffix."""
     for part in slices(batches, "text", K.SLICE):
-        w = K.words(part.column(2))
-        at = K.whole(w, lead)
+        w = K.words(part.column(1))
+        at = K.whole(w, min_words)
         if not len(at):
             continue
-        marks = np.full(len(w.start) - lead + 1, np.iinfo(K.U).max, K.U)
-        marks[at] = K.windows(w.hash, lead)[at]
-        chosen = K.winnow(marks, min_words - lead + 1)
-        chosen = chosen[marks[chosen] != np.iinfo(K.U).max]
-        doc = w.doc[chosen]
-        take = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array((chosen - w.first[doc]).astype(np.int32)), pa.array(marks[chosen].view(np.int64))], ["batch", "doc", "place", "mark"])
+        least = K.sliding(K.windows(w.hash, lead), min_words - lead + 1, np.minimum, np.iinfo(K.U).max)[at]
+        doc = w.doc[at]
+        edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
+        count = np.diff(np.r_[edge, len(at)])
+        first, doc = at[edge], doc[edge]
+        span = K.range_hashes(w.hash, first, first + count + min_words - 1)
+        place = ((first - w.first[doc]) << _BITS) | count
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(place), pa.array(least[edge].view(np.int64)), pa.array(span.view(np.int64))], ["doc", "place", "mark", "span"])
 
 
 class Family:
-    """Levels of sorted arrays of one shard; each level is (rank, mark, doc, place, met)."""
+    """Levels of sorted arrays of one shard; each level is (rank, mark, doc, place, span, met)."""
 
     def __init__(self) -> None:
         self.levels: list[list] = []
 
-    def load(self, rank: int, mark: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
-        self.levels.append([rank, mark, doc, place, np.zeros(len(mark), bool)])
+    def load(self, rank: int, mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> None:
+        self.levels.append([rank, mark, doc, place, span, np.zeros(len(mark), bool)])
         self.levels.sort(key=lambda x: -x[0])
 
-    def add(self, mark: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+    def add(self, mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> None:
         """Sort the batch's suffixes, merge-scan them against every level, then merge levels of equal rank."""
-        order = np.lexsort((place, doc, mark))
-        mark, doc, place = mark[order], doc[order], place[order]
+        order = np.argsort(mark, kind="stable")
+        mark, doc, place, span = mark[order], doc[order], place[order], span[order]
         met = np.zeros(len(mark), bool)
         edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
         low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
         met |= np.repeat(low != high, np.diff(np.r_[edge, len(mark)]))
         for level in self.levels:
-            for a, b, hit in ((mark, level[1], met), (level[1], mark, level[4])):
+            for a, b, hit in ((mark, level[1], met), (level[1], mark, level[5])):
                 at = np.searchsorted(b, a)
                 hit |= (at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a)
-        self.levels.append([0, mark, doc, place, met])
+        self.levels.append([0, mark, doc, place, span, met])
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             new, old = self.levels.pop(), self.levels.pop()
             columns = [np.concatenate([x, y]) for x, y in zip(old[1:], new[1:], strict=True)]
             order = np.argsort(columns[0], kind="stable")
             self.levels.append([old[0] + 1, *(c[order] for c in columns)])
 
-
-def scan_shard(pdf: pd.DataFrame, store: bool = False) -> pd.DataFrame:
-    """Rows (shard, rank, batch, doc, place, mark) of a shard, rank -1 for new suffixes -> met places, and the levels if store."""
+    def met(self) -> list[np.ndarray]:
+        """mark, doc, place, span of the cells that met another document, over all levels."""
+        parts = [[c[x[5]] for c in x[1:5]] for x in self.levels]
+        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+
+
+def decide(mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> pd.DataFrame:
+    """(doc, place, span, whole) of met cells: repeated from end to end, or (not whole) to be compared window by window."""
+    order = np.lexsort((place, doc, span, mark))
+    mark, doc, place, span = mark[order], doc[order], place[order], span[order]
+    if not len(mark):
+        return pd.DataFrame({"doc": doc, "place": place, "span": span, "whole": np.zeros(0, bool)})
+    opens = np.r_[True, (mark[1:] != mark[:-1]) | (span[1:] != span[:-1])]
+    group = np.cumsum(opens) - 1
+    whole = doc > doc[np.flatnonzero(opens)][group]
+    first = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+    size = np.diff(np.r_[first, len(mark)])
+    differ = np.repeat(np.add.reduceat(opens.astype(np.int64), first) > 1, size)
+    out = whole | differ
+    return pd.DataFrame({"doc": doc[out], "place": place[out], "span": span[out], "whole": whole[out]})
+
+
+def scan_shard(pdf: pd.DataFrame, low: int, step: int, store: bool = False) -> pd.DataFrame:
+    """Rows (rank, doc, place, mark, span) of a shard, rank -1 for new cells -> decided cells, and the levels if store."""
     family = Family()
-    for rank, rows in pdf[pdf["rank"] >= 0].groupby("rank"):
-        rows = rows.sort_values(["mark", "doc", "place"])
-        family.load(int(rank), rows["mark"].to_numpy(), rows["doc"].to_numpy(), rows["place"].to_numpy())
-    new = pdf[pdf["rank"] < 0]
-    batch = new["batch"].to_numpy()
-    mark, doc, place = (new[c].to_numpy() for c in ("mark", "doc", "place"))
+    columns = ("mark", "doc", "place", "span")
+    if "rank" in pdf.columns:
+        for rank, rows in pdf[pdf["rank"] >= 0].groupby("rank"):
+            rows = rows.sort_values("mark")
+            family.load(int(rank), *(rows[c].to_numpy() for c in columns))
+        pdf = pdf[pdf["rank"] < 0]
+    values = [pdf[c].to_numpy() for c in columns]
+    batch = (values[1] - low) // step
     for b in np.unique(batch):
         here = batch == b
-        family.add(mark[here], doc[here], place[here])
-    out = []
-    for rank, mark, doc, place, met in family.levels:
-        out.append(pd.DataFrame({"rank": np.int32(-1), "doc": doc[met], "place": place[met], "mark": mark[met]}))
-        if store:
-            out.append(pd.DataFrame({"rank": np.int32(rank), "doc": doc, "place": place, "mark": mark}))
-    return pd.concat(out) if out else pd.DataFrame({"rank": [], "doc": [], "place": [], "mark": []})
+        family.add(*(v[here] for v in values))
+    out = [decide(*family.met()).assign(rank=np.int32(-1), mark=np.int64(0))]
+    if store:
+        out += [pd.DataFrame({"doc": d, "place": p, "whole": False, "rank": np.int32(rank), "mark": m, "span": s}) for rank, m, d, p, s, _ in family.levels]
+    return pd.concat(out)[["doc", "place", "whole", "rank", "mark", "span"]]
 
 
-def scan(new: DataFrame, levels: DataFrame | None = None, shards: int = 8, store: bool = False) -> DataFrame:
-    """Run the family over new suffixes (batch, doc, place, mark), batches in order, after the stored levels (rank, doc, place, mark).
+def scan(new: DataFrame, low: int, step: int, levels: DataFrame | None = None, shards: int = 8, store: bool = False) -> DataFrame:
+    """Run the family over new cells (doc, place, mark, span), in batches of `step` ids, after the stored levels.
 
-    Rows of rank -1 are the places that met another document; if store, the other rows are the family to keep for the next run.
+    Rows of rank -1 are decided cells; if store, the other rows (rank, doc, place, mark, span) are the family to keep and
+    give to the next run. Cells of stored documents are decided too: windows are compared only where their texts are given.
     """
-    rows = new.withColumn("rank", F.lit(-1))
+    rows = new
     if levels is not None:
-        rows = rows.unionByName(levels.where("rank >= 0").withColumn("batch", F.lit(-1).cast("bigint")))
-    return rows.withColumn("shard", F.pmod(F.shiftright("mark", 20), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: scan_shard(pdf, store), "rank int, doc bigint, place int, mark bigint")
+        rows = new.withColumn("rank", F.lit(-1)).unionByName(levels.where("rank >= 0").select("doc", "place", "mark", "span", "rank"))
+    sharded = rows.withColumn("shard", F.pmod(F.shiftright("mark", 20), F.lit(shards)).cast("int"))
+    return sharded.groupBy("shard").applyInPandas(lambda pdf: scan_shard(pdf, low, step, store), "doc bigint, place bigint, whole boolean, rank int, mark bigint, span bigint")
+
 
+def _found(w: K.Words, places: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, number of windows) of the places (place, span) that stand in their row's text.
 
-def window_rows(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: int = LEAD) -> Iterator[pa.RecordBatch]:
-    """(doc, places, text) -> (mark, doc, start, stop): fingerprints and character ranges of all windows that hold a met place."""
+    Rows of one doc_id share their places; a place whose words aren't those of its span is another row's.
+    """
+    row = np.repeat(np.arange(len(places)), np.asarray(places.value_lengths().fill_null(0)))
+    flat = places.flatten()
+    place, span = np.asarray(flat.field(0)), np.asarray(flat.field(1)).view(K.U)
+    begin, count = w.first[row] + (place >> _BITS), place & ((1 << _BITS) - 1)
+    end = begin + count + min_words - 1
+    fits = np.flatnonzero(end <= w.first[row + 1])
+    fits = fits[K.range_hashes(w.hash, begin[fits], end[fits]) == span[fits]]
+    return row[fits], begin[fits], count[fits]
+
+
+def window_rows(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
+    """(doc, places, text) -> (doc, place, span): a place for each window of the named cells."""
     for part in slices(batches, "text", K.SLICE):
         w = K.words(part.column(2))
-        n = len(w.start)
-        if n < min_words:
-            continue
-        places = part.column(1)
-        row = np.repeat(np.arange(part.num_rows), np.asarray(places.value_lengths()))
-        at = w.first[row] + np.asarray(places.flatten())
-        cover = np.zeros(n + 1, np.int64)
-        at_ok = at < n
-        np.add.at(cover, np.maximum(at[at_ok] - (min_words - lead), 0), 1)
-        np.add.at(cover, at[at_ok] + 1, -1)
-        ok = K.whole(w, min_words)
-        ok = ok[np.cumsum(cover)[ok] > 0]
-        if not len(ok):
+        row, begin, count = _found(w, part.column(1), min_words)
+        if not len(row):
             continue
-        marks = K.windows(w.hash, min_words)[ok]
-        chars = K.chars_before(w.raw)
-        doc = w.doc[ok]
-        base = chars[w.offsets[doc]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(marks.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((chars[w.start[ok]] - base).astype(np.int32)), pa.array((chars[w.end[ok + min_words - 1]] - base).astype(np.int32))],
-            ["mark", "doc", "start", "stop"],
-        )
+        at = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        owner = np.repeat(row, count)
+        span = K.range_hashes(w.hash, at, at + min_words)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(((at - w.first[owner]) << _BITS) | 1), pa.array(span.view(np.int64))], ["doc", "place", "span"])
+
+
+def char_ranges(texts: pa.Array, places: pa.Array, min_words: int = MIN_WORDS) -> pa.Array:
+    """Character ranges of the words that the places' windows cover; touching windows are one range. start from 0, stop exclusive."""
+    w = K.words(texts)
+    row, begin, count = _found(w, places, min_words)
+    order = np.lexsort((begin, row))
+    row, begin, count = row[order], begin[order], count[order]
+    end = begin + count + min_words - 1
+    reach = np.maximum.accumulate(end)
+    at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])]) if len(end) else np.zeros(0, np.int64)
+    last = reach[np.r_[at[1:], len(end)] - 1] if len(at) else at
+    chars = K.chars_before(w.raw)
+    base = chars[w.offsets[row[at]]]
+    ranges = pa.StructArray.from_arrays([pa.array((chars[w.start[begin[at]]] - base).astype(np.int32)), pa.array((chars[w.end[last - 1]] - base).astype(np.int32))], ["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[at], minlength=len(texts)))].astype(np.int32)), ranges)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))
+def _ranges(texts: pa.Array, places: pa.Array) -> pa.Array:
+    batch = pa.RecordBatch.from_arrays([texts.fill_null(""), places], ["text", "places"])
+    out = [char_ranges(part.column(0), part.column(1)) for part in slices(iter([batch]), "text", K.SLICE)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+
+def _moved(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """docs with an id, dealt by it. Used twice in one plan with all its columns, so that the texts are shuffled once."""
+    return docs.where(F.col(id_col).isNotNull()).withColumn(name, F.col(id_col).cast("bigint")).repartition(F.col(name))
+
+
+def repeated_places(docs: DataFrame, moved: DataFrame, name: str, id_col: str, text_col: str, batches: int = BATCHES) -> DataFrame:
+    """(__doc, __places): the repeated windows of each document that has any."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    low, high = slim.agg(F.min("doc"), F.max("doc")).first()
+    low, step = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // batches))
+    found = slim.mapInArrow(cells, "doc bigint, place bigint, mark bigint, span bigint")
+    decided = materialize(scan(found, low, step, shards=pieces(docs, 8 << 20, 8)).select("doc", "place", "span", "whole"))
+    compared = decided.where("not whole").groupBy(F.col("doc").alias(name)).agg(F.collect_list(F.struct("place", "span")).alias("places"))
+    texts = moved.join(compared.hint("shuffle_hash"), name).select(F.col(name).alias("doc"), "places", F.col(text_col).cast("string").alias("text"), row_key(moved).alias("all"))
+    windows = texts.where(F.col("all").isNotNull()).mapInArrow(window_rows, "doc bigint, place bigint, span bigint")
+    later = windows.withColumn("origin", F.min("doc").over(Window.partitionBy("span"))).where("origin < doc")
+    places = decided.where("whole").drop("whole").unionByName(later.drop("origin"))
+    return places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "span")).alias("__places"))
+
+
+def _with_ranges(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES) -> tuple[DataFrame, str]:
+    """docs that have an id, with an array of character ranges, null where nothing repeats; and that column's name."""
+    name, ranges, places, doc = fresh(docs, "__id", "__ranges", "__places", "__doc")
+    moved = _moved(docs, id_col, name)
+    found = repeated_places(docs, moved, name, id_col, text_col, batches).toDF(doc, places)
+    both = moved.join(found.hint("shuffle_hash"), F.col(name) == F.col(doc), "left")
+    repeated = F.col(places).isNotNull() & F.col(text_col).isNotNull()
+    text = F.when(repeated, F.col(text_col).cast("string"))
+    return both.withColumn(ranges, F.when(repeated, _ranges(text, F.col(places)))).select(*[F.col(f"`{c}`") for c in docs.columns], ranges), ranges
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id): maximal character ranges whose windows all stand in an earlier document.
+    """(doc_id, start, stop): maximal character ranges whose windows all stand in an earlier document.
 
-    start counts from 0, stop is exclusive; first_doc_id is the least document that holds one of the range's windows.
-    id_col must be of an integer type.
+    start counts from 0, stop is exclusive. id_col must be of an integer type.
     """
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    low, high = slim.agg(F.min("doc"), F.max("doc")).first()
-    low, step = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // batches))
-    rows = slim.select(F.expr(f"(doc - {low}L) div {step}L").alias("batch"), "doc", "text").mapInArrow(suffixes, "batch bigint, doc bigint, place int, mark bigint")
-    met = scan(rows, shards=pieces(docs, 8 << 20, 8))
-    places = materialize(met.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places")))
-    windows = sized_lists(slim, places, "doc", "places", "inner").select("doc", "places", "text").mapInArrow(window_rows, "mark bigint, doc bigint, start int, stop int")
-    by_mark = Window.partitionBy("mark").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = windows.withColumn("origin", F.first("doc").over(by_mark)).where("origin < doc").select("doc", "start", "stop", "origin")
-    by_doc = Window.partitionBy("doc").orderBy("start", "stop")
-    opened = later.withColumn("opens", F.coalesce((F.col("start") > F.lag("stop").over(by_doc)).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("part", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = numbered.groupBy("doc", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("origin").alias("first_doc_id"))
-    return spans.select(F.col("doc").alias(id_col), "start", "stop", "first_doc_id")
+    out, ranges = _with_ranges(docs, id_col, text_col, batches)
+    return out.select(id_col, F.explode(ranges).alias("x")).select(id_col, "x.start", "x.stop")
+
+
+def _cut(text: Column, cuts: Column) -> Column:
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["stop"]))
+    stops = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.length(text)))
+    return F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -163,17 +240,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     length_col, where docs has it, becomes the new length. Documents without repeats are unchanged.
     """
-    spans_name, left_name = fresh(docs, "__spans", "__left")
-    spans = materialize(repeated_spans(docs, id_col, text_col).groupBy(F.col(id_col).alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(spans_name)))
-    (id_name,) = fresh(docs, "__doc")
-    keyed = sized_lists(docs.withColumn(id_name, F.col(id_col).cast("bigint")), spans.withColumnRenamed("__doc", id_name), id_name, spans_name, "left").drop(id_name)
-    text, cuts = F.col(text_col), F.col(spans_name)
-    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["stop"]))
-    stops = F.concat(F.transform(cuts, lambda x: x["start"]), F.array(F.length(text)))
-    pieces_ = F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a))
-    left = F.when(cuts.isNull(), text).otherwise(F.array_join(pieces_, ""))
-    out = keyed.withColumn(left_name, left).where(cuts.isNull() | F.col(left_name).rlike(r"[\p{L}\p{N}]"))
+    keyed, ranges = _with_ranges(docs, id_col, text_col)
+    (left_name,) = fresh(keyed, "__left")
+    whole = F.col(ranges).isNull() | (F.size(ranges) == 0)
+    out = keyed.withColumn(left_name, F.when(whole, F.col(text_col)).otherwise(_cut(F.col(text_col), F.col(ranges)))).where(whole | F.col(left_name).rlike(r"[\p{L}\p{N}]"))
     changed = {text_col: F.col(left_name)}
     if length_col in docs.columns:
-        changed[length_col] = F.when(cuts.isNull(), F.col(length_col)).otherwise(F.length(left_name).cast(dict(docs.dtypes)[length_col]))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+        changed[length_col] = F.when(whole, F.col(length_col)).otherwise(F.length(left_name).cast(dict(docs.dtypes)[length_col]))
+    out = out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -174,3 +174,11 @@ def chars_before(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def range_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the entries from each start to its end; equal to windows() for k entries."""
+    n = len(hashes)
+    prefix = np.zeros(n + 1, U)
+    np.cumsum(hashes * powers(_Q, n), out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * powers(inverse(_Q), n + 1)[start])
