@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes (rows counted after they were written), beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -21,6 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-"))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bound the bytes of an Arrow batch in this session, unless it has a bound of its own: long texts come in few rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(key, df.sparkSession.conf.get(key, str(BATCH_BYTES)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder; later reads survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -98,6 +107,10 @@ def drop_rows(docs: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return rest.drop(name)
 
 
+#: glibc's: gives the heap's free pages back when a task ends, as workers outlive their tasks; None elsewhere.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named string column has about limit bytes in each (a longer text stays whole)."""
     import numpy as np
@@ -113,6 +126,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    if _trim is not None:
+        _trim(0)
 
 
 def string_offsets(array: pa.Array):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import slices
+from siftstone.llm.common import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = np.iinfo(np.int32).max
@@ -320,6 +320,7 @@ def _encoder(shared) -> Encoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, intact): every text's ids; intact tells whether decoding them gives the text again (U+2581 as a space)."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dict(docs.dtypes)[id_col]
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import materialize, sized_join, slices
+from siftstone.llm.common import materialize, sized_join, slices, small_batches
 from siftstone.llm.toxicity import Classifier, bounded, fit_classifier
 
 #: Bound of the labelled sample that the document classifier is fitted on.
@@ -77,6 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def evidence(docs: DataFrame, model: Classifier | None, host: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, host, path, p_doc): the documents' own probabilities."""
+    small_batches(docs)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import fresh, materialize, pieces, row_key, slices
+from siftstone.llm.common import fresh, materialize, pieces, row_key, slices, small_batches
 
 MIN_WORDS, LEAD, BATCHES = 50, 25, 8
 #: A place in a document: number of the first window's first word, and the number of windows.
@@ -211,6 +211,7 @@ def repeated_places(docs: DataFrame, moved: DataFrame, name: str, id_col: str, t
 
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES) -> tuple[DataFrame, str]:
     """docs that have an id, with an array of character ranges, null where nothing repeats; and that column's name."""
+    small_batches(docs)
     name, ranges, places, doc = fresh(docs, "__id", "__ranges", "__places", "__doc")
     moved = _moved(docs, id_col, name)
     found = repeated_places(docs, moved, name, id_col, text_col, batches).toDF(doc, places)

@@ -18,7 +18,7 @@ _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes of text handled at once in a worker; arrays of some 50 times this size are alive meanwhile.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:

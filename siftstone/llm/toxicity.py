@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import fresh, slices
+from siftstone.llm.common import fresh, slices, small_batches
 from siftstone.llm.near_dedup import contained_groups
 
 #: Bounds of the two samples: labelled rows that the lexicons are taken from, documents that the classifier is fitted on.
@@ -266,6 +266,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, fitted: int = FITTED) -> Model:
+    small_batches(docs)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     mined, balance = np.zeros(0, K.U), BALANCE
     if labels is not None:
