@@ -33,7 +33,7 @@ def similarities(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.nd
 
 def _pair(asked: pd.DataFrame, held: pd.DataFrame, k: int | None, metric: str, least: float | None, others: bool) -> pd.DataFrame:
     if not len(asked) or not len(held):
-        return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return pd.DataFrame({"query_id": asked["query_id"].iloc[:0].to_numpy(), "id": held["id"].iloc[:0].to_numpy(), "score": np.zeros(0)})
     held = held.sort_values("id")
     ids = held["id"].to_numpy()
     q, v = (np.stack(x.to_numpy()).astype(np.float64) for x in (asked["query_vector"], held["vector"]))
@@ -55,8 +55,8 @@ def _pair(asked: pd.DataFrame, held: pd.DataFrame, k: int | None, metric: str, l
 def pairs(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", least: float | None = None, others: bool = False, within: str | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score): for each query the k best of each block (all with None), of scores from `least` on.
 
-    vectors (id, vector), queries (query_id, query_vector); ids of an integer type. others leaves a query's own id out;
-    within names a column of both: only rows that agree in it are compared. Null vectors match nothing.
+    vectors (id, vector), queries (query_id, query_vector). others leaves a query's own id out;
+    within names a column of both: only rows that agree in it are compared. Null vectors match nothing; ids aren't null.
     """
     keys = [within] if within else []
     held, asked = vectors.where("vector is not null"), queries.where("query_vector is not null")
@@ -64,7 +64,7 @@ def pairs(vectors: DataFrame, queries: DataFrame, k: int | None, metric: str = "
     left = asked.select("query_id", "query_vector", *keys, F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_held - 1).cast("bigint"))).alias("vb"))
     right = held.select("id", "vector", *keys, F.pmod(F.xxhash64("id"), F.lit(n_held)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_asked - 1).cast("bigint"))).alias("qb"))
     by = [*keys, "qb", "vb"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _pair(a, b, k, metric, least, others), "query_id bigint, id bigint, score double")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda a, b: _pair(a, b, k, metric, least, others), f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
