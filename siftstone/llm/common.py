@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.checkpoint import ensure_checkpoint_dir, materialize
+
+__all__ = [
+    "drop_rows", "ensure_checkpoint_dir", "fresh", "materialize", "pieces", "plan_bytes", "row_key", "sized_join", "slices", "small_batches", "string_offsets", "yield_clashes",
+]
+
 #: A side of a join is broadcast up to this many bytes (rows counted after they were written), beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch on its way to a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; make a local one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-"))
-
-
 def small_batches(df: DataFrame) -> None:
     """Bound the bytes of an Arrow batch in this session, unless it has a bound of its own: long texts come in few rows."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     df.sparkSession.conf.set(key, df.sparkSession.conf.get(key, str(BATCH_BYTES)))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder; later reads survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """The planner's size estimate (for files, their size on disk); 0 where it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -80,14 +71,6 @@ def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
     return left.join(right, on, how)
 
 
-def sized_lists(left: DataFrame, right: DataFrame, on: str, lists: str, how: str, item_bytes: int = 8) -> DataFrame:
-    """sized_join for a materialized right side of lists; the lists' items are counted too."""
-    rows, items = right.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
-    if rows * 40 + items * item_bytes <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
-
-
 def drop_rows(docs: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """docs without the rows decided against.
 
