@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.checkpoint import materialize
 from siftstone.operators import graph, search
 from siftstone.operators.knn import nearest
 
@@ -225,3 +226,33 @@ def render(results: DataFrame, texts: DataFrame, budget: int) -> DataFrame:
     kept = search.budget_prefix(lines, ["query_id", "section"], [F.asc("place")], "n", budget)
     items = F.array_sort(F.collect_list(F.struct("section", "place", "text")))
     return kept.groupBy("query_id").agg(F.array_join(F.transform(items, lambda x: F.concat(F.lit("["), x["section"], F.lit("] "), x["text"])), "\n").alias("context"))
+
+
+def rewritten(find, variants: DataFrame, k: int) -> DataFrame:
+    """Reciprocal rank fusion of what find(queries) gives for each wording: variants (query_id, variant, text).
+
+    find takes (query_id, text) and gives (query_id, id, score, rank); all wordings are answered in one job.
+    """
+    asked = variants.select(F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("asked"), "query_id", F.col("variant").alias("list_no"), "text")
+    found = find(asked.select(F.col("asked").alias("query_id"), "text")).withColumnRenamed("query_id", "asked")
+    lists = found.join(asked.drop("text"), "asked").select("query_id", "list_no", "rank", "id", F.lit(1.0).alias("weight"))
+    fused = search.fuse(lists).withColumn("score", F.round("score", 6))
+    return search.top_k(fused, k, order=[F.desc("score"), F.asc("first_list"), F.asc("first_rank"), F.asc("id")]).select("query_id", "id", "score", "rank")
+
+
+def multihop(find, follow, queries: DataFrame, rounds: int = 3, k: int = 10) -> DataFrame:
+    """(query_id, id, score, hop): results of up to `rounds` questions in a row, each id at its best score.
+
+    find as above; follow(queries, results) gives the next (query_id, text) of the queries that aren't answered yet.
+    """
+    asked, out = queries.select("query_id", "text"), None
+    for hop in range(rounds):
+        found = materialize(find(asked))
+        tagged = found.select("query_id", "id", "score", F.lit(hop).alias("hop"))
+        out = tagged if out is None else out.unionByName(tagged)
+        if hop + 1 < rounds:
+            asked = materialize(follow(asked, found))
+            if asked.isEmpty():
+                break
+    best = out.groupBy("query_id", "id").agg(F.max(F.struct("score", -F.col("hop"))).alias("m"))
+    return search.top_k(best.select("query_id", "id", "m.score", (-F.col("m.col2")).alias("hop")), k)

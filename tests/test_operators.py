@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.models import HashEmbedder, KeywordEmbedder, OverlapReranker, RuleModel, ask, embed, first_json, rerank
-from siftstone.operators import chunking, extraction, graph, knn, merge, scoring, search
+from siftstone.operators import chunking, extraction, graph, knn, merge, modes, scoring, search, wiki
+from siftstone.operators.numbering import layers, number_rows
 from siftstone.sources import files, html
 
 
@@ -219,3 +220,34 @@ def test_merge_chunks(spark):
 def test_text_functions(spark):
     row = spark.sql("SELECT '  A  b\n' AS x, '' AS e, CAST(NULL AS STRING) AS n").select(T.strip(F.col("x")), T.normal_name(F.col("x")), T.count_words(F.col("x")), T.count_words(F.col("e")), T.count_words(F.col("n"))).first()
     assert tuple(row)[:2] == ("A  b", "a b") and tuple(row)[2:4] == (2, 0)
+
+
+def test_numbers_and_layers(spark):
+    rows = spark.range(0, 1000, 1, 7).select(((F.col("id") * 37) % 1000).alias("node"))
+    numbered = number_rows(rows, [F.asc("node")])
+    assert numbered.where("node <> row_number").count() == 0 and number_rows(rows.limit(0), [F.asc("node")]).count() == 0
+    tree = layers(rows, [F.asc("node")], 10)
+    assert {r["layer"]: r["count"] for r in tree.groupBy("layer").count().collect()} == {0: 1000, 1: 100, 2: 10, 3: 1}
+    assert tree.where("parent = 'root'").count() == 1
+
+
+def test_wiki(spark):
+    docs = spark.createDataFrame([(1, "a/b.md", "# Title\nintro\n## Sub\nsame\n```\n# no\n```"), (2, "x/y.txt", None), (3, "z.md", "plain " * 100)], "document_id bigint, name string, text string")
+    made = {r["document_id"]: r for r in wiki.pages(docs).collect()}
+    assert made[1]["title"] == "Title" and made[1]["key"] == "1-title.md" and "#### Sub" in made[1]["text"] and "\n# no" in made[1]["text"]
+    assert made[2]["title"] == "y" and len(made[3]["summary"]) <= 280
+    cut = wiki.chunks(wiki.pages(docs), 300, 10).where("document_id = 3").orderBy("chunk_index").collect()
+    assert all(r["text"].startswith("Page: z\nSection: ") and len(r["text"]) <= 300 for r in cut)
+
+
+def test_rewritten_and_multihop(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red dog"), (3, "blue dog")], "id bigint, text string")
+
+    def find(asked):
+        return search.top_k(search.bm25(docs, asked, "id", "text", "query_id", "text"), 3)
+
+    variants = spark.createDataFrame([("q", 0, "fox"), ("q", 1, "dog")], "query_id string, variant int, text string")
+    assert [r["id"] for r in modes.rewritten(find, variants, 3).orderBy("rank").collect()] == [1, 2, 3]
+    asked = spark.createDataFrame([("q", "fox")], "query_id string, text string")
+    hops = {r["id"]: r["hop"] for r in modes.multihop(find, lambda q, found: found.where("rank = 1").join(docs, "id").select("query_id", "text"), asked, 2).collect()}
+    assert hops == {1: 1, 2: 1}
