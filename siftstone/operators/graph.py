@@ -85,16 +85,17 @@ def between(edges: DataFrame, members: DataFrame) -> DataFrame:
     return met.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"), *edges.columns)
 
 
-def shortest_paths(edges: DataFrame, wanted: DataFrame, max_rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(source, target, path) for each distinct pair of wanted; of equally short paths the least; [source, target] where there is none.
 
     Breadth first for all sources at once: each round is one join of the frontier, and reached nodes leave the search.
+    It ends when every pair is found or the frontier is empty, however long the paths are.
     """
     near = materialize(ends(edges.where("source <> target")).select(F.col("node").alias("at"), F.col("other").alias("to")).distinct())
     pairs = materialize(wanted.select("source", "target").distinct())
     frontier = materialize(pairs.select("source").distinct().select("source", F.col("source").alias("at"), F.array("source").alias("path")))
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(near, "at").select("source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         frontier = materialize(step.join(seen, ["source", "at"], "left_anti").groupBy("source", "at").agg(F.min("path").alias("path")))
         if frontier.isEmpty():

@@ -35,6 +35,11 @@ def returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where(RETURNED).select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target")).distinct()
 
 
+def steps_to_next(spark: SparkSession, sf_dir: str, built: DataFrame) -> DataFrame:
+    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("target"))
+    return graph.shortest_paths(built, asked).select("source", "target", (F.size("path") - 1).cast("bigint").alias("steps"))
+
+
 @query("""
 WITH typed AS (SELECT p_name, p_type, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL),
 brands AS (SELECT p_name, p_brand, min(p_partkey) AS first FROM part GROUP BY ALL)
@@ -89,14 +94,25 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(returned(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
+@query()
+def connected_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the edges of all line items, where connected_components has the returned goods of its SQL."""
+    return components(edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")))
+
+
 @query(f"""WITH RECURSIVE {RETURNED_SQL},
 pairs AS (SELECT 's' || s_suppkey AS source, 's' || (s_suppkey + 1) AS target FROM supplier),
 walk AS (SELECT source, source AS at, 0 AS steps FROM pairs UNION SELECT w.source, n.b, w.steps + 1 FROM walk w JOIN near n ON n.a = w.at WHERE w.steps < 24)
 SELECT source, target, coalesce(min(steps), 1)::BIGINT AS steps FROM pairs LEFT JOIN walk ON walk.source = pairs.source AND walk.at = target GROUP BY ALL""".replace("SELECT source, target, coalesce", "SELECT pairs.source, target, coalesce"))
 def shortest_path_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps from each supplier to the next one by number; 1 where they aren't connected."""
-    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("target"))
-    return graph.shortest_paths(returned(spark, sf_dir), asked).select("source", "target", (F.size("path") - 1).cast("bigint").alias("steps"))
+    return steps_to_next(spark, sf_dir, returned(spark, sf_dir))
+
+
+@query()
+def shortest_path_steps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the edges of all line items, where shortest_path_steps has the returned goods of its SQL."""
+    return steps_to_next(spark, sf_dir, edges(spark, sf_dir))
 
 
 PLACES_SQL = """parents AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region)"""
