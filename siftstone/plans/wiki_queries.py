@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.checkpoint import materialize
+from siftstone.functions import text as T
 from siftstone.models import OverlapReranker, rerank
 from siftstone.operators import modes, search, wiki
 from siftstone.operators.numbering import layers, number_rows
@@ -74,6 +76,17 @@ def rewrite_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def multihop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each next question is the beginning of the best document so far."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("text"))
-    return modes.multihop(_find(spark, sf_dir), lambda _, found: found.where("rank = 1").join(docs, "id").select("query_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 2)
+    """Each next question is the whole text of the best document that none was made of yet, without the last question's words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("said"))
+    used: list[DataFrame] = []
+
+    def follow(asked: DataFrame, found: DataFrame) -> DataFrame:
+        for before in used:
+            found = found.join(before, ["query_id", "id"], "left_anti")
+        used.append(materialize(search.top_k(found, 1).select("query_id", "id")))
+        known = asked.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("known"))
+        met = used[-1].join(docs, "id").join(known, "query_id")
+        fresh = F.filter("said", lambda w: ~F.array_contains("known", w))
+        return met.select("query_id", F.array_join(fresh, " ").alias("text")).where("text <> ''")
+
+    return modes.multihop(_find(spark, sf_dir), follow, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))

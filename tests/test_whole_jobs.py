@@ -1,5 +1,8 @@
 """Queries without SQL that take all rows, against plain versions over small tables."""
 
+import math
+from collections import Counter
+
 import numpy as np
 
 from siftstone.operators import graph
@@ -38,3 +41,40 @@ def test_long_path(spark):
     chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(66)], "source string, target string").coalesce(1)
     got = graph.shortest_paths(chain, spark.createDataFrame([("n000", "n066")], "source string, target string")).first()["path"]
     assert got == [f"n{i:03}" for i in range(67)]
+
+
+def bm25(docs, question):
+    """The ten best (score, id) of a list of words."""
+    mean, found = sum(map(len, docs.values())) / len(docs), []
+    for i, w in docs.items():
+        tf, score = Counter(w), 0.0
+        for term, weight in Counter(question).items():
+            df = sum(term in x for x in docs.values())
+            if tf[term]:
+                score += weight * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf[term] * 2.5 / (tf[term] + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        if score > 0:
+            found.append((-round(score, 6), i))
+    return [(-s, i) for s, i in sorted(found)[:10]]
+
+
+def test_multihop_reads_whole_texts(spark, tmp_path):
+    """Document 1 leads to 2 by its last words, 2 to 3 by its own; both stand after the first 120 characters."""
+    filler = [" ".join(f"{c}{i:02}word" for i in range(30)) for c in "abc"]
+    texts = {1: f"start {filler[0]} bridge bridge", 2: f"{filler[1]} bridge bridge harbour harbour", 3: f"{filler[2]} harbour goal", 4: "nothing of that"}
+    docs = {i: t.split() for i, t in texts.items()}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "start")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best, used, question = {}, set(), ["start"]
+    for hop in range(3):
+        found = bm25(docs, question)
+        for score, i in found:
+            if score > best.get(i, (0, 0))[0]:
+                best[i] = (score, hop)
+        left = [i for _, i in found if i not in used]
+        if not left:
+            break
+        used.add(left[0])
+        question = [w for w in docs[left[0]] if w not in question]
+    got = {r["id"]: (round(r["score"], 5), r["hop"]) for r in registry.QUERIES["multihop_search"](spark, str(tmp_path)).collect()}
+    assert got == {i: (round(s, 5), hop) for i, (s, hop) in best.items()}
+    assert set(got) == {1, 2, 3} and got[3][1] == 2
