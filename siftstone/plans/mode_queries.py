@@ -67,6 +67,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("query_vector"))
 
 
+def all_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each row: its own vector."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+
+
 def plain(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "section", "place", "id", F.round("score", 6).alias("score"))
 
@@ -165,8 +170,8 @@ HIER_RELATIONS = f"""SELECT query_id, section, place, id, score FROM (SELECT que
 HIER_CHUNKS = vote_sql(f"SELECT query_id, id, rank FROM {best('ehit', K)}")
 
 
-def hier(spark: SparkSession, sf_dir: str, branch: str) -> DataFrame:
-    return plain(modes.hierarchy(knowledge(spark, sf_dir), asked(spark, sf_dir), branch, K))
+def hier(spark: SparkSession, sf_dir: str, branch: str, queries: DataFrame | None = None) -> DataFrame:
+    return plain(modes.hierarchy(knowledge(spark, sf_dir), asked(spark, sf_dir) if queries is None else queries, branch, K))
 
 
 @query(final(entity_sql(K), HIER_RELATIONS, HIER_CHUNKS))
@@ -186,12 +191,14 @@ def hier_nobridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hier_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hier(spark, sf_dir, "bridge")
+    """Every row is a query."""
+    return hier(spark, sf_dir, "bridge", all_asked(spark, sf_dir))
 
 
 @query()
 def hier_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hier(spark, sf_dir, "full")
+    """Every row is a query."""
+    return hier(spark, sf_dir, "full", all_asked(spark, sf_dir))
 
 
 TOP5 = best("ehit", 5)

@@ -78,3 +78,19 @@ def test_multihop_reads_whole_texts(spark, tmp_path):
     got = {r["id"]: (round(r["score"], 5), r["hop"]) for r in registry.QUERIES["multihop_search"](spark, str(tmp_path)).collect()}
     assert got == {i: (round(s, 5), hop) for i, (s, hop) in best.items()}
     assert set(got) == {1, 2, 3} and got[3][1] == 2
+
+
+def test_hierarchy_asks_every_row(spark, tmp_path):
+    """Twelve rows of two labels: each is its own query, and its first hit is what a plain search gives."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(12, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lots = [(i, (i * 5 + 1) % 12, 1.0 + i, 100 + i) for i in range(12)]
+    spark.createDataFrame(lots, "l_suppkey bigint, l_partkey bigint, l_quantity double, l_orderkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    like = np.round(unit @ unit.T, 6)
+    want = {(q, place): i for q in range(12) for place, i in enumerate(sorted(range(12), key=lambda i: (-like[q, i], i))[:10], 1)}
+    for name in ("hier_bridge", "hier_full"):
+        rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r["query_id"] for r in rows} == set(range(12))
+    assert {(r["query_id"], r["place"]): r["id"] for r in rows if r["section"] == "entity"} == want
