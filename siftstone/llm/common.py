@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftstone.checkpoint import ensure_checkpoint_dir, materialize
 
 __all__ = [
-    "drop_rows", "ensure_checkpoint_dir", "fresh", "materialize", "pieces", "plan_bytes", "row_key", "sized_join", "slices", "small_batches", "string_offsets", "yield_clashes",
+    "bit_table", "drop_rows", "ensure_checkpoint_dir", "fresh", "give_back", "in_table", "materialize", "pieces", "plan_bytes", "row_id", "row_key", "sized_join", "slices", "small_batches", "string_offsets", "yield_clashes",
 ]
 
 #: A side of a join is broadcast up to this many bytes (rows counted after they were written), beyond it the join shuffles.
@@ -28,9 +28,12 @@ def small_batches(df: DataFrame) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The planner's size estimate (for files, their size on disk); 0 where it has none."""
+    """The planner's size estimate (for files, their size on disk); where it has none, as after a checkpoint, the rows' bytes are counted."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 0 if size > 1 << 60 else size
+    if size <= 1 << 60:
+        return size
+    texts = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("bigint") for c, t in df.dtypes if t in ("string", "binary")]
+    return int(df.agg(F.coalesce(F.sum(sum(texts, F.lit(8 * len(df.columns)))), F.lit(0))).first()[0])
 
 
 def pieces(df: DataFrame, each: int, least: int = 1) -> int:
@@ -59,9 +62,19 @@ def yield_clashes(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def _values(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`").cast("string") if t.startswith(("map", "array", "struct", "variant", "interval")) else F.col(f"`{c}`") for c, t in df.dtypes]
+
+
 def row_key(df: DataFrame) -> Column:
-    """64-bit hash of all of a row's values."""
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith(("map", "variant", "interval")) else F.col(f"`{c}`") for c, t in df.dtypes])
+    """64-bit hash of all of a row's values, for spreading and ordering rows; not an identity."""
+    return F.xxhash64(*_values(df))
+
+
+def row_id(df: DataFrame) -> Column:
+    """A row's identity: two 64-bit hashes of all its values and of which are null, with unrelated seeds. Rows are taken for equal if both agree."""
+    told = [x for c, v in zip(df.columns, _values(df), strict=True) for x in (v, F.col(f"`{c}`").isNull())]
+    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit("other seed"), *told).alias("b"))
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 32) -> DataFrame:
@@ -74,26 +87,59 @@ def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
 def drop_rows(docs: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """docs without the rows decided against.
 
-    keys is materialized: one row per row of docs with the row's hash and `keep`. Of wholly equal rows, which share a
-    hash, one stays if any is to be kept.
+    keys is materialized: one row per row of docs with the row's identity (row_id) and `keep`. Of wholly equal rows, which
+    share it, one stays if any is to be kept; they are brought together by a partial aggregation, however many there are.
     """
     (name,) = fresh(docs, "__key")
     each = keys.groupBy(key).agg(F.count("*").alias("n"), F.max("keep").alias("keep"))
     each = materialize(each.where("n > 1 or not keep").withColumnRenamed(key, name))
-    keyed = docs.withColumn(name, row_key(docs))
-    rest = sized_join(keyed, each.where("not keep").select(name), name, "left_anti", 16)
+    keyed = docs.withColumn(name, row_id(docs))
+    rest = sized_join(keyed, each.where("not keep").select(name), name, "left_anti", 32)
     again = each.where("keep").select(name)
     if not again.isEmpty():
-        (rank,) = fresh(keyed, "__rank")
-        once = sized_join(rest, again, name, "left_semi", 16).withColumn(rank, F.row_number().over(Window.partitionBy(name).orderBy(name)))
-        rest = sized_join(rest, again, name, "left_anti", 16).unionByName(once.where(F.col(rank) == 1).drop(rank))
+        once = sized_join(rest, again, name, "left_semi", 32).dropDuplicates([name])
+        rest = sized_join(rest, again, name, "left_anti", 32).unionByName(once)
     return rest.drop(name)
 
 
+#: Bits of a bit table, as a power of two: 8 MB, whatever the number of its keys.
+BITS = 26
+
+
+def bit_table(keys: DataFrame, column: str):
+    """A table of BITS bits with one set for each value of a bigint column; the driver gets 1 << (BITS - 6) longs at most.
+
+    in_table() is true for every value that was entered, and for few others while there are fewer values than bits; with
+    more it thins out less, but never loses one.
+    """
+    import numpy as np
+
+    at = F.shiftrightunsigned(F.col(column).bitwiseXOR(F.shiftleft(column, 29)), 64 - BITS)
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), at.alias("p")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toPandas()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words["w"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
+    return table.view(np.uint8)
+
+
+def in_table(table, values):
+    """Places of the 64-bit values that the table may hold."""
+    import numpy as np
+
+    bit = ((values ^ (values << np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.flatnonzero((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+
+
 #: glibc's: gives the heap's free pages back when a task ends, as workers outlive their tasks; None elsewhere.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def give_back() -> None:
+    """Return free memory of Arrow's pool and of the heap to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named string column has about limit bytes in each (a longer text stays whole)."""
     import numpy as np
@@ -109,8 +155,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
-    if _trim is not None:
-        _trim(0)
+    give_back()
 
 
 def string_offsets(array: pa.Array):

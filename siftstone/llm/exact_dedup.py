@@ -5,11 +5,13 @@ hold the full digest and the winner's locator. A digest that is looked up always
 there tells members from strangers. Members are repeats of history and go. Strangers are grouped by digest on their own,
 and of each group the least doc_id stays.
 
-Without a given history the table's older half by doc_id is the history and the newer half the arriving batch; the
-result is that of keeping the least doc_id of every distinct text.
+Without a given history the table's older half by doc_id, whatever its type, is the history and the newer half the
+arriving batch; the halves are told apart by the middle one of a bounded sample of doc_ids. The result is that of keeping
+the least doc_id of every distinct text, whichever doc_id parts them.
 
-Defined cases: null texts have no digest and stay; empty texts are equal to each other; null doc_ids sort last, ties by
-row hash; of wholly equal rows one stays; an empty table gives an empty table; other columns are passed through.
+Defined cases: null texts have no digest and stay; empty texts are equal to each other; texts of any length are read
+whole; null doc_ids sort last, ties by row; of wholly equal rows one stays; an empty table gives an empty table; other
+columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import drop_rows, materialize, row_key
+from siftstone.llm.common import drop_rows, materialize, row_id
 
 #: Distinct digests in a shard of the index, about.
 SHARD = 1 << 15
+#: doc_ids of which the middle one parts older from newer rows.
+SAMPLE = 1001
 _TRIES = 64
 
 
@@ -81,27 +85,30 @@ def _bytes(column: pd.Series) -> np.ndarray:
 
 
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(shard, digest, key) of distinct digests -> one index row with seeds, slot digests and slot locators."""
+    """(shard, digest, a, b) of distinct digests -> one index row with seeds, slot digests and slot locators."""
     digests = _bytes(pdf["digest"])
     hashed = PerfectHash.build(digests)
     slot = hashed.slot(digests)
     at = np.empty(len(slot), np.int64)
     at[slot] = np.arange(len(slot))
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "seeds": [hashed.seeds.tobytes()], "digests": [digests[at].tobytes()], "locators": [pdf["key"].to_numpy()[at].tobytes()]})
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "seeds": [hashed.seeds.tobytes()], "digests": [digests[at].tobytes()], "locators": [pdf[["a", "b"]].to_numpy(np.int64)[at].tobytes()]})
 
 
 def probe_shard(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """Distinct new digests of a shard -> the member's locator, null for strangers."""
-    out = new[["digest", "key"]].assign(locator=pd.Series(pd.array([None] * len(new), "Int64"), index=new.index))
+    none = pd.array([None] * len(new), "Int64")
+    out = new[["digest", "a", "b"]].assign(x=none, y=none.copy())
     if len(index) and len(new):
         row = index.iloc[0]
         stored = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
         digests = _bytes(new["digest"])
         slot = PerfectHash(len(stored), np.frombuffer(row["seeds"], np.int64)).slot(digests)
         member = (stored[slot] == digests).all(axis=1)
-        found = pd.array(np.frombuffer(row["locators"], np.int64)[slot], "Int64")
-        found[~member] = pd.NA
-        out["locator"] = found
+        locators = np.frombuffer(row["locators"], np.int64).reshape(-1, 2)[slot]
+        for k, name in enumerate(("x", "y")):
+            found = pd.array(locators[:, k], "Int64")
+            found[~member] = pd.NA
+            out[name] = found
     return out
 
 
@@ -110,29 +117,37 @@ def _shard(shards: int):
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, id, key) of the rows that have a text."""
-    return docs.select(F.unhex(F.sha2(F.col(text_col).cast("string"), 256)).alias("digest"), F.col(id_col).alias("id"), row_key(docs).alias("key")).where("digest is not null")
+    """(digest, id, a, b) of the rows that have a text; a and b are the row's identity."""
+    each = docs.select(F.unhex(F.sha2(F.col(text_col).cast("string"), 256)).alias("digest"), F.col(id_col).alias("id"), row_id(docs).alias("key"))
+    return each.where("digest is not null").select("digest", "id", "key.a", "key.b")
 
 
 def winners(slim: DataFrame) -> DataFrame:
-    """(digest, key) of the least row of each digest; partial aggregation keeps hot digests small."""
-    return slim.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("w")).select("digest", F.col("w.key").alias("key"))
+    """(digest, a, b) of the least row of each digest; partial aggregation keeps hot digests small."""
+    return slim.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("w")).select("digest", "w.a", "w.b")
 
 
 def build_index(history: DataFrame) -> DataFrame:
-    """The index table (shard, shards, seeds, digests, locators) over history's winners (digest, key), materialized."""
+    """The index table (shard, shards, seeds, digests, locators) over history's winners (digest, a, b), materialized."""
     shards = max(1, -(-history.count() // SHARD))
-    rows = history.select(_shard(shards), "digest", "key").groupBy("shard").applyInPandas(build_shard, "shard bigint, seeds binary, digests binary, locators binary")
+    rows = history.select(_shard(shards), "digest", "a", "b").groupBy("shard").applyInPandas(build_shard, "shard bigint, seeds binary, digests binary, locators binary")
     return materialize(rows.withColumn("shards", F.lit(shards)))
 
 
 def probe(new: DataFrame, index: DataFrame) -> DataFrame:
-    """(digest, key, locator) of distinct new digests (digest, key): locator is the winner in the index, null for strangers."""
+    """(digest, a, b, x, y) of distinct new digests (digest, a, b): x and y identify the winner in the index, null for strangers."""
     head = index.select("shards").first()
     if head is None:
-        return new.select("digest", "key", F.lit(None).cast("bigint").alias("locator"))
-    asked = new.select(_shard(head[0]), "digest", "key").groupBy("shard")
-    return asked.cogroup(index.drop("shards").groupBy("shard")).applyInPandas(probe_shard, "digest binary, key bigint, locator bigint")
+        return new.select("digest", "a", "b", F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y"))
+    asked = new.select(_shard(head[0]), "digest", "a", "b").groupBy("shard")
+    return asked.cogroup(index.drop("shards").groupBy("shard")).applyInPandas(probe_shard, "digest binary, a bigint, b bigint, x bigint, y bigint")
+
+
+def middle(slim: DataFrame):
+    """The middle one of a sample of SAMPLE distinct ids, chosen by hash; None without any."""
+    ids = slim.where("id is not null").select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(SAMPLE)
+    found = sorted(r["id"] for r in ids.collect())
+    return found[(len(found) - 1) // 2] if found else None
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -140,16 +155,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = materialize(digests(docs, id_col, text_col))
     old, new = None, slim
     if index is None and history is None:
-        low, high = slim.agg(F.min("id"), F.max("id")).first()
-        pivot = F.lit((low + high) // 2) if isinstance(low, int) else F.lit(low)
-        new = slim.where((F.col("id") > pivot) | F.col("id").isNull())
+        pivot = F.lit(middle(slim)).cast(dict(docs.dtypes)[id_col])
+        new = slim.where((F.col("id") > pivot) | F.col("id").isNull() | pivot.isNull())
         old = materialize(winners(slim.where(F.col("id") <= pivot)))
         index = build_index(old)
     elif index is None:
         index = build_index(materialize(winners(digests(history, id_col, text_col))))
     probed = materialize(probe(winners(new), index))
-    best = probed.select("digest", F.coalesce("locator", "key").alias("best"))
+    best = probed.select("digest", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     if old is not None:
-        best = best.unionByName(old.select("digest", F.col("key").alias("best"))).distinct()
-    decided = slim.join(best, "digest").select("key", (F.col("key") == F.col("best")).alias("keep"))
+        best = best.unionByName(old.select("digest", F.col("a").alias("x"), F.col("b").alias("y"))).distinct()
+    decided = slim.join(best, "digest").select(F.struct("a", "b").alias("key"), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).alias("keep"))
     return drop_rows(docs, materialize(decided))

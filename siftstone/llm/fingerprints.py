@@ -5,12 +5,13 @@ section that of "s:" and its leaves' hex digests, the root that of "r:" and its
 equal texts; where roots differ, only branches whose digests differ need to be opened to find the edit.
 
 Defined cases: a null text has null digests and no branches; an empty text is one section of one empty paragraph;
-repeated rows get equal trees; an empty table gives an empty table; other columns are not part of the tree.
+texts of any length are hashed whole; repeated rows get equal trees; an empty table gives an empty table; other columns,
+whatever their names, are not part of the tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,24 +27,44 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return trees.select(id_col, F.when(F.col("sections").isNotNull(), _digest("r", F.array_join("sections", ""))).alias("root"), "sections", "paragraphs")
 
 
-def _leaves(trees: DataFrame, id_col: str, mine: str, other: str, change: str) -> DataFrame:
-    """Paragraphs of `mine` that `other` lacks, looked for only in sections that other lacks."""
-    opened = trees.select(id_col, F.col(f"{other}.sections").alias("s"), F.flatten(f"{other}.paragraphs").alias("p"), F.posexplode(F.arrays_zip(F.col(f"{mine}.sections").alias("digest"), F.col(f"{mine}.paragraphs").alias("leaves"))).alias("section", "branch"))
-    opened = opened.where(~F.coalesce(F.array_contains("s", F.col("branch.digest")), F.lit(False)))
-    leaves = opened.select(id_col, "section", "p", F.posexplode("branch.leaves").alias("paragraph", "digest"))
-    return leaves.where(~F.coalesce(F.array_contains("p", F.col("digest")), F.lit(False))).select(id_col, F.lit(change).alias("change"), "section", "paragraph", "digest")
+def _common(a: Column, b: Column) -> Column:
+    """Number of entries at the beginning that two arrays share."""
+    differs = F.zip_with(a, b, lambda x, y: ~F.coalesce(x == y, F.lit(False)))
+    at = F.array_position(differs, True)
+    return F.when(at > 0, at - 1).otherwise(F.size(differs)).cast("int")
 
 
-def edits(before: DataFrame, after: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, change, section, paragraph, digest) of two fingerprint tables: removed paragraphs by their place before, added ones by their place after.
+def _leaves(pairs: DataFrame, id_col: str, mine: str) -> DataFrame:
+    """(id, section, paragraph, digest, nth) of one side's leaves in the sections between those that both sides begin and end with; nth counts equal leaves."""
+    opened = pairs.select(id_col, "head", (F.size(f"{mine}.sections") - F.col("tail")).alias("end"), F.posexplode(f"{mine}.paragraphs").alias("section", "leaves")).where("section >= head and section < end")
+    leaves = opened.select(id_col, "section", F.posexplode("leaves").alias("paragraph", "digest"))
+    return leaves.withColumn("nth", F.row_number().over(Window.partitionBy(id_col, "digest").orderBy("section", "paragraph")))
+
 
-    Documents with equal roots are skipped without opening their trees. A document in one table only has all its
-    paragraphs listed. Paragraphs are told apart by content: moves, and changes in how often one repeats, change the
-    section's and root's digests but list no paragraph. Ids must be unique in each table; null ids match nothing.
+def edits(before: DataFrame, after: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, change, section, paragraph, digest) of two fingerprint tables: removed paragraphs by their place before, added and moved ones by their place after.
+
+    Documents with equal roots are skipped without opening their trees, and so are the sections that both trees begin
+    with and end with. In the branches between, the nth paragraph of a content before is the nth of that content after;
+    what has no counterpart was removed or added, so that a change in how often a paragraph repeats is listed, and a
+    counterpart that stands elsewhere in the order of those that stayed was moved. Where only the breaks between
+    sections changed, the paragraphs whose section changed are listed as moved. A document in one table only has all its
+    paragraphs listed; null texts have none. Ids must be unique in each table; null ids match nothing.
     """
     tree = F.struct("root", "sections", "paragraphs")
     pairs = before.select(id_col, tree.alias("a")).join(after.select(id_col, tree.alias("b")), id_col, "full").where(~F.col("a.root").eqNullSafe(F.col("b.root")))
-    return _leaves(pairs, id_col, "a", "b", "removed").unionByName(_leaves(pairs, id_col, "b", "a", "added"))
+    none = F.array().cast("array<string>")
+    a, b = (F.coalesce(F.col(f"{x}.sections"), none) for x in "ab")
+    pairs = pairs.withColumn("head", _common(a, b)).withColumn("tail", F.least(_common(F.reverse(a), F.reverse(b)), F.size(a) - F.col("head"), F.size(b) - F.col("head")))
+    old, new = _leaves(pairs, id_col, "a"), _leaves(pairs, id_col, "b")
+    both = old.select(id_col, "digest", "nth", F.struct("section", "paragraph").alias("x")).join(new.select(id_col, "digest", "nth", F.struct("section", "paragraph").alias("y")), [id_col, "digest", "nth"], "full")
+    one = both.where("x is null or y is null").select(id_col, F.when(F.col("y").isNull(), "removed").otherwise("added").alias("change"), F.coalesce("x", "y").alias("at"), "digest")
+    stayed = both.where("x is not null and y is not null")
+    ranks = stayed.withColumn("i", F.row_number().over(Window.partitionBy(id_col).orderBy("x"))).withColumn("j", F.row_number().over(Window.partitionBy(id_col).orderBy("y")))
+    shape = ranks.withColumn("rows", F.count(F.when(F.col("i") != F.col("j"), 1)).over(Window.partitionBy(id_col))).join(one.select(id_col).distinct().withColumn("cut", F.lit(True)), id_col, "left")
+    moved = shape.where((F.col("i") != F.col("j")) | (F.col("cut").isNull() & (F.col("rows") == 0) & (F.col("x.section") != F.col("y.section"))))
+    out = one.unionByName(moved.select(id_col, F.lit("moved").alias("change"), F.col("y").alias("at"), "digest"))
+    return out.select(id_col, "change", "at.section", "at.paragraph", "digest")
 
 
 def flat(trees: DataFrame, id_col: str = "doc_id") -> DataFrame:

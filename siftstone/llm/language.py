@@ -7,7 +7,7 @@ the language, unless it is further away than nearly all of its own sample was: t
 
 Defined cases: null and empty texts, and texts of fewer than two bytes, are "und" with similarity 0; equal similarities
 go to the first language by name; rows with a null language teach nothing; without any language all are "und"; repeated
-rows get equal answers; an empty table gives an empty table; texts are read whole.
+rows get equal answers; an empty table gives an empty table; texts are read whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import slices, small_batches
+from siftstone.llm.common import materialize, sized_join, slices, small_batches
 
+#: Hashed dimensions, centroids per language, and the bound of the sample that these are fitted on (shared by the languages; at least one row each, 2 * SAMPLE rows in all).
 DIMENSIONS, CENTROIDS, SAMPLE = 4096, 3, 3000
+#: A text is rejected below this share of the similarity that all but 0.5 % of its language's sample reach: short texts are less similar than the sample's.
+REJECT = 0.6
 _ROWS = 256
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -103,28 +106,36 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     df = np.zeros(DIMENSIONS + 1)
     df[rows["i"].to_numpy(int)] = rows["n"].to_numpy(float)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
-    known = slim.where("lang is not null")
-    by_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    each = max(1, sample // max(1, len(by_lang)))
-    share = F.lit(0.0)
-    for name, n in by_lang.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, each / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) <= share * (1 << 30)) if by_lang else known.limit(0)
+    known = slim.where("lang is not null").withColumn("h", F.xxhash64("id", "text"))
+    by_lang = materialize(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    languages = by_lang.count()
+    each = max(1, sample // max(1, languages))
+    # chosen by id and text and once per distinct pair, so that repeated rows can't exceed the bound; every language has its row of least hash
+    share = F.lit(float(each << 30)) / F.col("n")
+    drawn = sized_join(known, by_lang, "lang", "inner", 48).where((F.pmod("h", F.lit(1 << 30)) < share) | (F.col("h") == F.col("least")))
 
     def count_bytes(batches):
         for part in slices(batches, "text", K.SLICE):
-            for first, x in counts(part.column(1)):
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(x)), pa.array([r.astype(np.float16).tobytes() for r in np.minimum(x, 60000)], pa.binary())], ["lang", "x"])
-
-    taught = chosen.select("lang", "text").mapInArrow(count_bytes, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+            for first, x in counts(part.column(2)):
+                row, place = np.nonzero(x)
+                size = np.bincount(row, minlength=len(x))
+                cut = np.cumsum(size)[:-1]
+                lists = [np.split(v, cut) for v in (place.astype(np.int16), x[row, place].astype(np.int32))]
+                packed = [[v.tobytes() for v in column] for column in lists]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(x)), part.column(1).slice(first, len(x)), *(pa.array(v, pa.binary()) for v in packed)], ["h", "lang", "place", "count"])
+
+    taught = drawn.select("h", "lang", "text").mapInArrow(count_bytes, "h bigint, lang string, place binary, count binary").dropDuplicates(["h", "lang"]).limit(2 * max(sample, languages)).toPandas().sort_values(["lang", "place", "count"])
     all_centers, names, least = [], [], []
     for name, group in taught.groupby("lang"):
-        x = vectors(np.stack([np.frombuffer(b, np.float16) for b in group["x"]]).astype(np.float32), idf)
+        x = np.zeros((len(group), DIMENSIONS), np.float32)
+        for i, (place, count) in enumerate(zip(group["place"], group["count"], strict=True)):
+            x[i, np.frombuffer(place, np.int16)] = np.frombuffer(count, np.int32)
+        x = vectors(x, idf)
         centers = spherical_kmeans(x, centroids)
         nearest = (x @ centers.T).max(axis=1)
         all_centers.append(centers)
         names += [name] * len(centers)
-        least += [0.6 * float(np.quantile(nearest, 0.005))] * len(centers)
+        least += [REJECT * float(np.quantile(nearest, 0.005))] * len(centers)
     return LanguageModel(idf, np.concatenate(all_centers) if all_centers else np.zeros((0, DIMENSIONS), np.float32), names, np.array(least))
 
 

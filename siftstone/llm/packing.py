@@ -1,13 +1,16 @@
 """Best-fit packing of documents into bins of a fixed number of tokens, improved by swaps.
 
-Documents are spread over groups by row hash; a group packs on its own. Longer documents than a bin are cut into full
-bins and a rest. Best fit in order of decreasing length gives a first packing; then a local search takes the least
-filled bin and lets it give tokens to fuller ones, by moving a document, by exchanging one for one, or two for one in
-either direction. Every step raises the sum of squared fills; a bin that empties goes.
-
-Tokens are runs of characters other than white space. Defined cases: null, empty and blank texts have no tokens and get
-one row with a null bin; each of repeated rows is packed; null doc_ids are packed like others; a document that fills
-several bins has one row per piece; an empty table gives an empty result.
+Longer documents than a bin are cut into full bins and a rest. Documents are spread over groups by row hash; a group packs
+on its own: best fit in order of decreasing length gives a first packing; then a local search takes the least filled bin
+and lets it give tokens to fuller ones, by moving a document, by exchanging one for one, or two for one in either
+direction. Every step raises the sum of squared fills; a bin that empties goes. Bins that can give nothing are tried again
+as long as others change. What stays underfilled is no group's own: the open bins of `JOIN` groups are packed together by
+the same search, and so on level by level until one group is left, so that the table ends with the open bins of one search.
+
+Tokens are runs of characters other than white space; in scripts written without spaces each character is one. Defined
+cases: null, empty and blank texts have no tokens and get one row with a null bin; each of repeated rows is packed; null
+doc_ids are packed like others; very long texts are cut, not shortened: a document that fills several bins has one row
+per piece; an empty table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import row_key
+from siftstone.llm import textkernel as K
+from siftstone.llm.common import materialize, row_key
 
-CAPACITY, GROUP = 2048, 1 << 14
+#: Tokens of a bin; documents of a group; groups whose open bins are packed together on the next level.
+CAPACITY, GROUP, JOIN = 2048, 1 << 13, 64
+#: A token: a character of a script without spaces, or a run of others (Java).
+TOKEN = rf"[{K.SOLO_CLASS}]|[^\s{K.SOLO_CLASS}]+"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -57,40 +64,48 @@ def _pairs(items: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search over the bins with room; ends when the least filled bins can give nothing more to any fuller one."""
-    full = [b for b in bins if lengths[b].sum() == capacity]
-    open_ = [list(b) for b in bins if lengths[b].sum() < capacity]
-    stuck: list[list[int]] = []
-    open_.sort(key=lambda b: (int(lengths[b].sum()), b))
-    while open_:
-        donor = open_.pop(0)
-        moved = True
-        while donor and moved and (open_ or stuck):
-            targets = open_ + stuck
-            room = capacity - np.array([int(lengths[b].sum()) for b in targets])
-            least = room - (capacity - int(lengths[donor].sum()))
-            best = (0, None)
-            sizes = lengths[donor]
-            pick = _move(donor, sizes, room, least)
-            if pick[0] > best[0]:
-                best = pick
-            if not best[1]:
-                for kind in (_one_for_one, _two_for_one):
-                    pick = kind(donor, targets, room, least, lengths)
-                    if pick[0] > best[0]:
-                        best = pick
-            moved = best[1] is not None
-            if moved:
-                k, out, back = best[1]
-                donor = [i for i in donor if i not in out] + list(back)
-                target = targets[k]
-                target[:] = [i for i in target if i not in back] + list(out)
-                if lengths[target].sum() == capacity:
-                    full.append(target)
-                    (open_.remove if k < len(open_) else stuck.remove)(target)
-        if donor:
-            (full if lengths[donor].sum() == capacity else stuck).append(donor)
-    return full + stuck
+    """Local search over the bins with room; ends when no bin can give anything more to a fuller one."""
+    fills = [int(lengths[b].sum()) for b in bins]
+    full = [b for b, n in zip(bins, fills, strict=True) if n == capacity]
+    order = sorted((n, list(b)) for b, n in zip(bins, fills, strict=True) if n < capacity)
+    now = [b for _, b in order]
+    fill = np.array([n for n, _ in order], np.int64)
+    tried = np.zeros(len(now), bool)
+    while len(now) > 1 and not tried.all():
+        at = int(np.where(tried, capacity + 1, fill).argmin())
+        pick = _best(now, fill, at, lengths, capacity)
+        if pick is None:
+            tried[at] = True
+            continue
+        gain, k, out, back = pick
+        now[at] = [i for i in now[at] if i not in out] + list(back)
+        now[k] = [i for i in now[k] if i not in back] + list(out)
+        fill[at] -= gain
+        fill[k] += gain
+        # both have other documents now: they, and the bins that only waited for such a change, may give again
+        tried[:] = False
+        gone = [x for x in (at, k) if fill[x] == 0 or fill[x] == capacity]
+        full += [now[x] for x in gone if fill[x]]
+        if gone:
+            keep = np.setdiff1d(np.arange(len(now)), gone)
+            now, fill, tried = [now[x] for x in keep], fill[keep], tried[keep]
+    return full + now
+
+
+def _best(now, fill, at, lengths, capacity):
+    """(gain, target, documents given, documents taken back) of the donor's best step, None without any: a move if there is one, else an exchange."""
+    others = np.flatnonzero(np.arange(len(now)) != at)
+    targets = [now[k] for k in others]
+    room = capacity - fill[others]
+    least = room - (capacity - fill[at])
+    donor = now[at]
+    best = _move(donor, lengths[donor], room, least)
+    if best[1] is None:
+        best = max((kind(donor, targets, room, least, lengths) for kind in (_one_for_one, _two_for_one)), key=lambda x: x[0])
+    if best[1] is None:
+        return None
+    k, out, back = best[1]
+    return best[0], int(others[k]), out, back
 
 
 def _move(donor, sizes, room, least):
@@ -146,36 +161,43 @@ def pack_items(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return improve(best_fit(lengths, capacity), lengths, capacity)
 
 
-def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """(grp, id, none, key, tokens) of a group -> (id, piece, start, tokens, bin, place)."""
-    pdf = pdf.sort_values(["none", "id", "key"], kind="stable").reset_index(drop=True)
-    tokens = pdf["tokens"].to_numpy().astype(np.int64)
-    cuts = np.maximum(1, -(-tokens // capacity))
-    row = np.repeat(np.arange(len(pdf)), cuts)
-    piece = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(cuts)[:-1]], cuts)
-    start = piece * capacity
-    length = np.minimum(tokens[row] - start, capacity)
-    bin_ = np.full(len(row), -1, np.int64)
-    place = np.zeros(len(row), np.int64)
-    real = np.flatnonzero(length > 0)
-    base = int(pdf["grp"].iloc[0]) << 32
-    for number, members in enumerate(pack_items(length[real], capacity)):
-        at = real[sorted(members)]
-        bin_[at] = base + number
+def pack_group(pdf: pd.DataFrame, capacity: int, level: int) -> pd.DataFrame:
+    """(grp, id, none, key, piece, start, tokens) of a group -> with bin, place and fill; pieces of at most a bin each."""
+    pdf = pdf.sort_values(["none", "id", "key", "piece"], kind="stable").reset_index(drop=True)
+    length = pdf["tokens"].to_numpy(np.int64)
+    bin_, place, fill = (np.zeros(len(pdf), np.int64) for _ in range(3))
+    base = (int(pdf["grp"].iloc[0]) << 28) | (level << 24)
+    for number, members in enumerate(pack_items(length, capacity)):
+        at = np.array(sorted(members))
+        bin_[at] = (base << 4) + number
         place[at] = np.r_[0, np.cumsum(length[at])[:-1]]
-    out = pd.DataFrame({"id": pd.array(pdf["id"].to_numpy()[row], "Int64"), "piece": piece.astype(np.int32), "start": start, "tokens": length})
-    out["bin"], out["place"] = pd.array(bin_, "Int64"), pd.array(place, "Int64")
-    out.loc[bin_ < 0, ["bin", "place"]] = pd.NA
-    out.loc[pdf["none"].to_numpy()[row], "id"] = pd.NA
-    return out
+        fill[at] = length[at].sum()
+    return pdf.assign(bin=bin_, place=place, fill=fill)[["grp", "id", "none", "key", "piece", "start", "tokens", "bin", "place", "fill"]]
+
+
+def _packer(capacity: int, level: int):
+    return lambda pdf: pack_group(pdf, capacity, level)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, tokens, bin, place): tokens start..start+tokens of a document stand in bin from place on.
 
-    id_col must be of an integer type. Groups hold about `group` documents; a bin never spans two groups.
+    id_col must be of an integer type. Groups hold about `group` documents.
     """
     groups = max(1, -(-docs.count() // group))
-    slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("none"), row_key(docs).alias("key"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")), F.lit(0)).alias("tokens"))
-    packed = slim.withColumn("grp", F.pmod("key", F.lit(groups))).groupBy("grp").applyInPandas(lambda pdf: pack_group(pdf, capacity), "id bigint, piece int, start bigint, tokens bigint, bin bigint, place bigint")
-    return packed.withColumnRenamed("id", id_col)
+    slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("none"), row_key(docs).alias("key"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("all"))
+    cut = slim.select(F.pmod("key", F.lit(groups)).alias("grp"), "id", "none", "key", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece"))
+    cut = cut.withColumn("start", F.col("piece").cast("bigint") * capacity).withColumn("tokens", F.least(F.col("all") - F.col("start"), F.lit(capacity))).drop("all")
+    schema = "grp bigint, id bigint, none boolean, key bigint, piece int, start bigint, tokens bigint, bin bigint, place bigint, fill bigint"
+    items = materialize(cut)
+    done = items.where("tokens = 0").select(*items.columns, *(F.lit(None).cast("bigint").alias(c) for c in ("bin", "place", "fill")))
+    left, level = items.where("tokens > 0"), 0
+    while True:
+        packed = left.repartition(groups, "grp").groupBy("grp").applyInPandas(_packer(capacity, level), schema)
+        if groups == 1:
+            break
+        packed = materialize(packed)
+        done = done.unionByName(packed.where(F.col("fill") == capacity))
+        groups, level = -(-groups // JOIN), level + 1
+        left = packed.where(F.col("fill") < capacity).select(*items.columns).withColumn("grp", F.expr(f"grp div {JOIN}"))
+    return done.unionByName(packed).select(F.when(~F.col("none"), F.col("id")).alias(id_col), "piece", "start", "tokens", "bin", "place")

@@ -3,19 +3,23 @@
 Texts are cut into units (a run of spaces and the run of other characters after it); no piece of the vocabulary spans
 two units, so each distinct unit is encoded once. All units of a batch lie in flat symbol arrays: every round finds each
 unit's least pair rank by a segmented minimum, merges the leftmost such pair of every unit at once, re-ranks the two
-pairs beside it, and compacts; units without a pair drop out, until none remains. Very long units, whose rounds would be
-as many as their symbols, take the same merges from a heap.
+pairs beside it, and compacts; units without a pair drop out, until none remains. In a long unit every pair that is the
+least within the reach of a piece on both sides merges in the same round: no merge that comes before it can touch it, as
+a symbol that reaches into that distance from outside would be longer than any piece. Rounds then don't grow with a unit's
+length.
+
+A unit met before takes its ids from a table by hash; every text is decoded and compared byte by byte, and one that
+differs is encoded again without the table.
 
 Characters outside the vocabulary become UTF-8 byte pieces. As in the library, a space is put before a text, spaces are
 kept, and the character U+2581 counts as a space.
 
 Defined cases: null texts have null ids; the empty text has no ids; repeated rows get equal ids; texts are encoded whole;
-an empty table gives an empty table; other columns are ignored.
+an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +33,7 @@ from siftstone.llm import textkernel as K
 from siftstone.llm.common import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-NONE = np.iinfo(np.int32).max
-#: Units of more symbols are merged from a heap.
-LONG = 96
+NONE, _FAR = np.iinfo(np.int32).max, np.iinfo(np.int64).max
 _SLICE, _CACHE = 8 << 20, 1 << 20
 
 
@@ -47,6 +49,7 @@ class Vocabulary:
     data: np.ndarray
     begin: np.ndarray
     byte_id: np.ndarray
+    reach: int
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -85,7 +88,7 @@ class Vocabulary:
         scores = np.array([pairs[k][0] for k in keys])
         rank = np.unique(scores, return_inverse=True)[1].astype(np.int32)
         begin = np.r_[0, np.cumsum([len(x) for x in raw])]
-        return cls(n, symbol, keys, rank, np.array([pairs[k][1] for k in keys], np.int64), np.frombuffer(b"".join(raw), np.uint8), begin, byte_id)
+        return cls(n, symbol, keys, rank, np.array([pairs[k][1] for k in keys], np.int64), np.frombuffer(b"".join(raw), np.uint8), begin, byte_id, max(map(len, text), default=1))
 
     def __post_init__(self) -> None:
         bits = 20
@@ -130,32 +133,12 @@ class Vocabulary:
         return np.where(number >= 0, self.rank[np.maximum(number, 0)], NONE).astype(np.int32)
 
 
-def merge_heap(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
-    """The same merges for one long unit: least rank first, leftmost on ties."""
-    n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    number = vocabulary.find(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
-    heap = [(int(vocabulary.rank[k]), i, symbols[i], symbols[i + 1], int(vocabulary.merged[k])) for i, k in enumerate(number) if k >= 0]
-    heapq.heapify(heap)
-    known: dict[tuple[int, int], int] = {}
-    while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or symbols[i] != a or j >= n or symbols[j] != b:
-            continue
-        symbols[i], alive[j] = new, False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for x, y in ((before[i], i), (i, after[i])):
-            if x >= 0 and y < n:
-                pair = symbols[x], symbols[y]
-                if pair not in known:
-                    known[pair] = int(vocabulary.find(np.array([pair[0]]), np.array([pair[1]]))[0])
-                if (k := known[pair]) >= 0:
-                    heapq.heappush(heap, (int(vocabulary.rank[k]), x, *pair, int(vocabulary.merged[k])))
-    return [s for s, keep in zip(symbols, alive, strict=True) if keep]
+def nearby_least(rank: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """Those of the places `at` whose rank is the least of all within reach on both sides, the leftmost on ties."""
+    key = (rank[at].astype(np.int64) << 32) | np.arange(len(at))
+    edge = np.full(reach, _FAR)
+    low = K.sliding(np.concatenate([edge, key, edge]), 2 * reach + 1, np.minimum, _FAR)
+    return at[(key == low) & (rank[at] < NONE)]
 
 
 def merge_rounds(symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +146,7 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
     units = len(starts)
     lengths = np.diff(np.r_[starts, len(symbols)])
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    long_units = np.flatnonzero(lengths > LONG)
-    for u in long_units:
-        s = np.array(merge_heap(symbols[starts[u] : starts[u] + lengths[u]].tolist(), vocabulary), np.int64)
-        out.append((np.full(len(s), u), s))
     unit = np.repeat(np.arange(units), lengths)
-    if len(long_units):
-        keep = np.repeat(lengths <= LONG, lengths)
-        symbols, unit = symbols[keep], unit[keep]
     sym = symbols.astype(np.int64)
     number = np.full(len(sym), -1, np.int32)
     inner = np.flatnonzero(unit[1:] == unit[:-1])
@@ -190,6 +166,10 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary
             least, count = least[going], count[going]
         at = np.flatnonzero(rank == np.repeat(least, count))
         at = at[np.r_[True, unit[at[1:]] != unit[at[:-1]]]]
+        far = count > 2 * vocabulary.reach + 1
+        if far.any():
+            inside = np.repeat(far, count)
+            at = np.union1d(at[~inside[at]], nearby_least(rank, np.flatnonzero(inside), vocabulary.reach))
         sym[at] = vocabulary.merged[number[at]]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
@@ -263,10 +243,7 @@ class Encoder:
         begins[1:] |= space[1:] & ~space[:-1]
         start = np.flatnonzero(begins)
         end = np.r_[start[1:], len(raw)]
-        prefix = np.zeros(len(raw) + 1, K.U)
-        np.cumsum(K._BYTE[raw] * K.powers(K._P, len(raw)), out=prefix[1:])
-        mark = K.mix((prefix[end] - prefix[start]) * K.powers(K.inverse(K._P), len(raw) + 1)[start])
-        del prefix
+        mark = K.byte_hashes(raw, start, end)
         distinct, first, back = np.unique(mark, return_index=True, return_inverse=True)
         if len(self.known) > _CACHE:
             self.forget()
@@ -289,6 +266,14 @@ class Encoder:
         edge = np.searchsorted(start, offsets)
         return ids, total[edge[1:]] - total[edge[:-1]]
 
+    def repair(self, texts: pa.Array, spaced: pa.Array, ids: np.ndarray, count: np.ndarray, intact: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The ids with those texts that don't decode to themselves encoded alone, without the units met before."""
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for i in np.flatnonzero(np.asarray(pc.fill_null(pc.invert(intact), False))):
+            parts[i], count[i : i + 1] = Encoder(self.v).encode(texts.slice(i, 1))
+        ids = np.concatenate(parts)
+        return ids, count, pc.equal(self.decode(ids, count), spaced)
+
     def decode(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
         """Texts of the ids: pieces' bytes in order, without the space that encoding put before."""
         begin, length = self.v.begin[ids], np.diff(self.v.begin)[ids]
@@ -329,8 +314,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         for part in slices(batches, "text", _SLICE):
             texts = part.column(1)
             ids, count = encoder.encode(texts)
-            again = encoder.decode(ids, count)
-            intact = pc.equal(again, pc.replace_substring(texts, "▁", " "))
+            spaced = pc.replace_substring(texts, "▁", " ")
+            intact = pc.equal(encoder.decode(ids, count), spaced)
+            if pc.any(pc.invert(intact)).as_py():
+                ids, count, intact = encoder.repair(texts, spaced, ids, count, intact)
             offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pc.is_null(texts))
             n = pc.if_else(pc.is_null(texts), pa.scalar(None, pa.int64()), pa.array(count))

@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import materialize, sized_join, slices, small_batches
+from siftstone.llm.common import fresh, materialize, sized_join, slices, small_batches
 from siftstone.llm.toxicity import Classifier, bounded, fit_classifier
 
-#: Bound of the labelled sample that the document classifier is fitted on.
+#: Bound of the labelled sample that the document classifier is fitted on (about; twice as many rows at most).
 LABELLED, THRESHOLD = 20000, 0.5
 _SETS = [np.isin(np.arange(256), list(chars)) for chars in (range(65, 91), range(48, 58), b" ", b"\n", b"!?", b"#$%&*", b"|<>{}[]=/\\", b".,;:", range(128, 256))]
 
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = surface(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["y", "x"])
 
-    rows = slim.mapInArrow(measure, "y double, x array<double>").toPandas()
+    rows = slim.mapInArrow(measure, "y double, x array<double>").limit(2 * labelled).toPandas()
     if not len(rows) or rows["y"].min() >= 0.5 or rows["y"].max() < 0.5:
         return None
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
@@ -102,8 +102,24 @@ def strength(groups: DataFrame, mean: str, n: str, prior: str) -> float:
     return float(np.clip(row["top"] / row["n"] / max(between, 1e-9) - 1, 1.0, 1e4))
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, p_doc, host_rate, path_rate, quality, keep) of every row. path names a column that parts a host's documents."""
+def site(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL column: the host without `www.` and port in small letters, and the path's folders without its last part; null for null and unreadable URLs."""
+    text = F.trim(url.cast("string"))
+    host = F.lower(F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?(?:[wW]{3}\.)?([^/:?#]+)", 1))
+    path = F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/(?:[^?#/]*/)*)", 1)
+    known = F.length(host) > 0
+    return F.when(known, host), F.when(known, F.when(F.length(path) > 0, path).otherwise("/"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, url: str | None = None) -> DataFrame:
+    """(doc_id, p_doc, host_rate, path_rate, quality, keep) of every row.
+
+    url names a column that host and path are read from; without one, host names the host's column and path one that
+    parts a host's documents.
+    """
+    if url is not None:
+        host, path = fresh(docs, "__host", "__path")
+        docs = docs.withColumns(dict(zip((host, path), site(F.col(url)), strict=True)))
     own = materialize(evidence(docs, fit(docs, labels, id_col, text_col), host, path, id_col, text_col))
     paths = materialize(own.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))

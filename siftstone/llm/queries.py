@@ -10,7 +10,7 @@ from siftstone.llm import fingerprints, sharding
 from siftstone.llm.exact_dedup import exact_dedup
 from siftstone.llm.language import identify
 from siftstone.llm.language import train as train_language
-from siftstone.llm.near_dedup import near_dedup
+from siftstone.llm.near_dedup import near_classes
 from siftstone.llm.packing import pack
 from siftstone.llm.pieces import Vocabulary, encode
 from siftstone.llm.quality import quality
@@ -57,7 +57,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"))
+    """One row for each document: its class, the number of different texts it is linked to, and whether it stays."""
+    return near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """Reproducible shuffle of a table into shards: a Feistel permutation of global row numbers.
 
-Rows are numbered by doc_id (null doc_ids first, ties by row hash; wholly equal rows take consecutive numbers). A
+Rows are numbered by doc_id (null doc_ids first, ties by row identity; wholly equal rows take consecutive numbers). A
 balanced Feistel network over the least power of four that holds all numbers, walked until it falls into range, permutes
 them; position p goes to shard p % shards, slot p // shards. Anyone who knows the row count, the seed and a row's number
 can compute its place, and the inverse gives the row of any place.
 
-Defined cases: an empty table gives an empty table; documents' columns named like the added ones get the suffix _input.
+Only ids and hashes are sorted globally. Rows that occur once meet their number by a join; of wholly equal rows, however
+many, one copy travels, and is given all their numbers. A shard is written in slot order, in as many partitions as its
+bytes need, so that no task grows with the table.
+
+Defined cases: null doc_ids are ids like others; texts aren't read, so that null, empty and very long ones are moved like
+others; an empty table gives an empty table; documents' columns named like the added ones get the suffix _input.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import fresh, materialize, pieces, row_key, sized_join, yield_clashes
+from siftstone.llm.common import fresh, materialize, pieces, plan_bytes, row_id, sized_join, yield_clashes
 
 SHARDS, SEED, ROUNDS = 64, 20240607, 6
+#: Bytes of a partition of a shard, about; numbers of wholly equal rows that are given out at once.
+PART, CHUNK = 32 << 20, 1 << 12
 _M31, _A, _B = (1 << 31) - 1, 1_103_515_245, 1_566_083_941
 
 
@@ -64,7 +71,7 @@ def permute(numbers: np.ndarray, n: int, seed: int = SEED, inverse: bool = False
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (id, hash, n) of a partition -> with each row's start within the partition, and the partition's number."""
+    """Sorted (a, b, n) of a partition -> with each row's start within the partition, and the partition's number."""
     part, total = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.column(2).to_numpy(zero_copy_only=False)
@@ -72,45 +79,48 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         start = total + np.r_[0, np.cumsum(n)[:-1]]
         total += int(n.sum())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(start.astype(np.int64)), pa.array(np.full(len(n), part, np.int32))], ["id", "hash", "n", "start", "part"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start.astype(np.int64)), pa.array(np.full(len(n), part, np.int32))], ["a", "b", "n", "start", "part"])
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """docs with row_number, position, shard and slot, one partition per shard in slot order.
-
-    Only ids and hashes are sorted globally; the texts move once, to their shard.
-    """
-    kind = dict(docs.dtypes)[id_col]
+    """docs with row_number, position, shard and slot. A partition holds a range of one shard's slots, in order; partition p is a part of shard p // parts."""
+    size = plan_bytes(docs)
     docs = yield_clashes(docs, "row_number", "position", "shard", "slot")
-    (hash_,) = fresh(docs, "__hash")
-    keyed = docs.withColumn(hash_, row_key(docs))
-    distinct = keyed.groupBy(F.col(id_col).alias("id"), F.col(hash_).alias("hash")).agg(F.count("*").alias("n"))
-    ordered = distinct.repartitionByRange(pieces(docs, 64 << 20, 8), F.col("id").asc_nulls_first(), F.col("hash")).sortWithinPartitions(F.col("id").asc_nulls_first(), "hash")
-    numbered = materialize(ordered.mapInArrow(_number, f"id {kind}, hash bigint, n bigint, start bigint, part int"))
+    key, start_name, part_name = fresh(docs, "__id", "__start", "__part")
+    keyed = docs.withColumn(key, row_id(docs))
+    distinct = keyed.groupBy(F.col(id_col).alias("id"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    order = [F.col("id").asc_nulls_first(), F.col("key")]
+    ordered = distinct.repartitionByRange(max(8, -(-size // (64 << 20))), *order).sortWithinPartitions(*order).select("key.a", "key.b", "n")
+    numbered = materialize(ordered.mapInArrow(_number, "a bigint, b bigint, n bigint, start bigint, part int"))
     counts = sorted((r["part"], r["rows"], r["most"]) for r in numbered.groupBy("part").agg(F.sum("n").alias("rows"), F.max("n").alias("most")).collect())
     total, repeated = sum(c[1] for c in counts), any(c[2] > 1 for c in counts)
     offsets = dict(zip((c[0] for c in counts), np.r_[0, np.cumsum([c[1] for c in counts])].tolist(), strict=False))
-
-    @F.pandas_udf("array<bigint>")
-    def places(start: pd.Series, part: pd.Series, n: pd.Series) -> pd.Series:
-        first = start.to_numpy() + np.array([offsets[p] for p in part], np.int64)
-        count = n.to_numpy()
-        rows = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
-        return pd.Series(np.split(permute(rows, total, seed), np.cumsum(count)[:-1]), dtype=object)
+    parts = max(1, -(-size // (shards * PART)))
 
     @F.pandas_udf("bigint")
     def first_row(start: pd.Series, part: pd.Series) -> pd.Series:
         return start + np.array([offsets[p] for p in part], np.int64)
 
-    id_name, row_name, places_name, rank_name = fresh(keyed, "__id", "__row", "__places", "__rank")
-    table = materialize(numbered.select(F.col("id").alias(id_name), F.col("hash").alias(hash_), first_row("start", "part").alias(row_name), places("start", "part", "n").alias(places_name)))
-    joined = sized_join(keyed, table, hash_, "inner", 64).where(F.col(id_name).eqNullSafe(F.col(id_col)))
-    rank = F.row_number().over(Window.partitionBy(hash_).orderBy(hash_)) - 1 if repeated else F.lit(0)
-    ranked = joined.withColumn(rank_name, rank)
-    position = F.get(places_name, F.col(rank_name))
-    columns = [F.col(f"`{c}`") for c in keyed.columns if c != hash_]
-    out = ranked.select(*columns, (F.col(row_name) + F.col(rank_name)).alias("row_number"), position.alias("position"), (position % shards).alias("shard"), F.expr(f"`{places_name}`[`{rank_name}`] div {shards}").alias("slot"))
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    @F.pandas_udf("bigint")
+    def place(number: pd.Series) -> pd.Series:
+        return pd.Series(permute(number.to_numpy(), total, seed))
+
+    table = materialize(numbered.select(F.struct("a", "b").alias(key), first_row("start", "part").alias(start_name), "n"))
+    single = sized_join(keyed, table.where("n = 1").drop("n"), key, "inner", 96)
+    if repeated:
+        again = table.where("n > 1")
+        chunks = again.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(CHUNK).cast("bigint"))).alias("from"), start_name, "n")
+        chunks = chunks.select(key, F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("n")) - 1)).alias("nth"), start_name)
+        once = sized_join(keyed, again.select(key), key, "left_semi", 32).dropDuplicates([key])
+        many = once.join(chunks.select(key, (F.col(start_name) + F.col("nth")).alias(start_name)), key)
+        single = single.select(*keyed.columns, start_name).unionByName(many.select(*keyed.columns, start_name))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = single.select(*columns, F.col(start_name).alias("row_number"), place(start_name).alias("position"))
+    out = out.withColumn("shard", F.col("position") % shards).withColumn("slot", F.expr(f"position div {shards}"))
+    slots = max(1, -(-total // shards))
+    part = F.col("shard") * parts + F.least(F.expr(f"slot * {parts} div {slots}"), F.lit(parts - 1))
+    out = out.withColumn(part_name, part.cast("int")).repartitionById(shards * parts, part_name)
+    return out.sortWithinPartitions("shard", "slot").drop(part_name)
 
 
 def oracle(shards: int = SHARDS, seed: int = SEED) -> str:

@@ -1,21 +1,25 @@
-"""Repeated passages, found by a logarithmic family of suffix arrays.
+"""Repeated passages, found by a logarithmic family of sparse suffix arrays.
 
 A passage is repeated if a window of `MIN_WORDS` consecutive words also stands in an earlier document (by doc_id).
-Suffixes are ordered by the fingerprint of their leading words, so that suffixes with an equal beginning are neighbours,
-and the arrays are sparse: the windows of a text whose least suffix is the same form a cell, and a cell has one entry,
-with that suffix's fingerprint (the mark), the fingerprint of all its words (the span) and its place. Equal windows have
-equal marks.
-
-The family: a new batch of documents gets its suffix array, which is merge-scanned against each existing level for
-equal beginnings; then it enters at level 0, and while two levels have the same rank they merge into one of the next
-rank. The family is sharded by fingerprint, one task per shard; a shard's levels can be stored and given to the next run.
-Cells that met another document's are then decided: a cell whose whole span stands in an earlier document is repeated
-from end to end; where spans differ, the first document of each span has its cell's windows compared one by one at full
-length. Only those windows travel, not those of whole copies.
+Suffixes are ordered by the fingerprint of their `LEAD` leading words, so that suffixes with an equal beginning are
+neighbours, and the arrays are sparse: the windows of a text whose least suffix is the same form a cell, and only that
+suffix is in the array. Its entry has the fingerprint (the mark), the first and last document that it was met in, and the
+least and greatest fingerprint of all words of its cells (the spans). Equal windows have equal marks.
+
+The family: levels of such arrays, each sorted by mark. A new batch gets its array, which is merge-scanned (by sorted
+joins on the mark) with the levels for beginnings that another document has; then it enters at rank 0, and while two
+levels have the same rank they merge into one of the next. Levels can be saved and loaded, so that a later run only makes
+the array of its own batch. cut_repeats takes the older half of its table for the batch before and the newer half for the
+one that arrives.
+
+Cells whose mark was met in another document are then decided from the texts: a cell whose whole span stands in an earlier
+document is repeated from end to end; where spans differ, the first document of each span has its cell's windows compared
+one by one at full length. Only those windows travel, not those of whole copies. Marks, spans and windows that any number
+of documents share are aggregated before they are shuffled, and joined with what was found about them.
 
 Defined cases: words as in textkernel (case and punctuation are ignored); rows of one doc_id are one document and do not
 repeat each other; null doc_ids and null or short texts never repeat; texts of any length are read whole; an empty table
-gives an empty result; other columns are passed through.
+gives an empty result; other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -23,22 +27,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import fresh, materialize, pieces, row_key, slices, small_batches
+from siftstone.llm.common import bit_table, fresh, in_table, materialize, row_key, sized_join, slices, small_batches
 
-MIN_WORDS, LEAD, BATCHES = 50, 25, 8
+MIN_WORDS, LEAD = 50, 25
 #: A place in a document: number of the first window's first word, and the number of windows.
 _BITS = 32
 
 
-def cells(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: int = LEAD) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (doc, place, mark, span): a row for each run of windows with the same least suffix."""
+def cells(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: int = LEAD, table: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> (doc, place, mark, span): a row for each run of windows with the same least suffix; with a bit table of marks, only for those."""
     for part in slices(batches, "text", K.SLICE):
         w = K.words(part.column(1))
         at = K.whole(w, min_words)
@@ -48,94 +51,73 @@ def cells(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS, lead: i
         doc = w.doc[at]
         edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         count = np.diff(np.r_[edge, len(at)])
+        if table is not None:
+            known = in_table(table, least[edge])
+            edge, count = edge[known], count[known]
         first, doc = at[edge], doc[edge]
         span = K.range_hashes(w.hash, first, first + count + min_words - 1)
         place = ((first - w.first[doc]) << _BITS) | count
         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(place), pa.array(least[edge].view(np.int64)), pa.array(span.view(np.int64))], ["doc", "place", "mark", "span"])
 
 
+_CELLS = "doc bigint, place bigint, mark bigint, span bigint"
+_ENTRY = ("mark", "first", "last", "low", "high")
+
+
+def merge(*arrays: DataFrame) -> DataFrame:
+    """One array (mark, first, last, low, high) of several, one entry for each mark."""
+    rows = arrays[0]
+    for other in arrays[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("mark").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def suffix_array(texts: DataFrame) -> DataFrame:
+    """Entries (mark, first, last, low, high) of the texts' (doc, text) cells, one for each cell; merge() makes them an array."""
+    return texts.mapInArrow(cells, _CELLS).select("mark", F.col("doc").alias("first"), F.col("doc").alias("last"), F.col("span").alias("low"), F.col("span").alias("high"))
+
+
 class Family:
-    """Levels of sorted arrays of one shard; each level is (rank, mark, doc, place, span, met)."""
+    """Levels (rank, array), ranks falling; of the batches added, 2 ** rank are in a level."""
 
     def __init__(self) -> None:
-        self.levels: list[list] = []
-
-    def load(self, rank: int, mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> None:
-        self.levels.append([rank, mark, doc, place, span, np.zeros(len(mark), bool)])
-        self.levels.sort(key=lambda x: -x[0])
-
-    def add(self, mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> None:
-        """Sort the batch's suffixes, merge-scan them against every level, then merge levels of equal rank."""
-        order = np.argsort(mark, kind="stable")
-        mark, doc, place, span = mark[order], doc[order], place[order], span[order]
-        met = np.zeros(len(mark), bool)
-        edge = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-        low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
-        met |= np.repeat(low != high, np.diff(np.r_[edge, len(mark)]))
-        for level in self.levels:
-            for a, b, hit in ((mark, level[1], met), (level[1], mark, level[5])):
-                at = np.searchsorted(b, a)
-                hit |= (at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a)
-        self.levels.append([0, mark, doc, place, span, met])
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            new, old = self.levels.pop(), self.levels.pop()
-            columns = [np.concatenate([x, y]) for x, y in zip(old[1:], new[1:], strict=True)]
-            order = np.argsort(columns[0], kind="stable")
-            self.levels.append([old[0] + 1, *(c[order] for c in columns)])
-
-    def met(self) -> list[np.ndarray]:
-        """mark, doc, place, span of the cells that met another document, over all levels."""
-        parts = [[c[x[5]] for c in x[1:5]] for x in self.levels]
-        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-
-
-def decide(mark: np.ndarray, doc: np.ndarray, place: np.ndarray, span: np.ndarray) -> pd.DataFrame:
-    """(doc, place, span, whole) of met cells: repeated from end to end, or (not whole) to be compared window by window."""
-    order = np.lexsort((place, doc, span, mark))
-    mark, doc, place, span = mark[order], doc[order], place[order], span[order]
-    if not len(mark):
-        return pd.DataFrame({"doc": doc, "place": place, "span": span, "whole": np.zeros(0, bool)})
-    opens = np.r_[True, (mark[1:] != mark[:-1]) | (span[1:] != span[:-1])]
-    group = np.cumsum(opens) - 1
-    whole = doc > doc[np.flatnonzero(opens)][group]
-    first = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-    size = np.diff(np.r_[first, len(mark)])
-    differ = np.repeat(np.add.reduceat(opens.astype(np.int64), first) > 1, size)
-    out = whole | differ
-    return pd.DataFrame({"doc": doc[out], "place": place[out], "span": span[out], "whole": whole[out]})
-
-
-def scan_shard(pdf: pd.DataFrame, low: int, step: int, store: bool = False) -> pd.DataFrame:
-    """Rows (rank, doc, place, mark, span) of a shard, rank -1 for new cells -> decided cells, and the levels if store."""
-    family = Family()
-    columns = ("mark", "doc", "place", "span")
-    if "rank" in pdf.columns:
-        for rank, rows in pdf[pdf["rank"] >= 0].groupby("rank"):
-            rows = rows.sort_values("mark")
-            family.load(int(rank), *(rows[c].to_numpy() for c in columns))
-        pdf = pdf[pdf["rank"] < 0]
-    values = [pdf[c].to_numpy() for c in columns]
-    batch = (values[1] - low) // step
-    for b in np.unique(batch):
-        here = batch == b
-        family.add(*(v[here] for v in values))
-    out = [decide(*family.met()).assign(rank=np.int32(-1), mark=np.int64(0))]
-    if store:
-        out += [pd.DataFrame({"doc": d, "place": p, "whole": False, "rank": np.int32(rank), "mark": m, "span": s}) for rank, m, d, p, s, _ in family.levels]
-    return pd.concat(out)[["doc", "place", "whole", "rank", "mark", "span"]]
-
-
-def scan(new: DataFrame, low: int, step: int, levels: DataFrame | None = None, shards: int = 8, store: bool = False) -> DataFrame:
-    """Run the family over new cells (doc, place, mark, span), in batches of `step` ids, after the stored levels.
-
-    Rows of rank -1 are decided cells; if store, the other rows (rank, doc, place, mark, span) are the family to keep and
-    give to the next run. Cells of stored documents are decided too: windows are compared only where their texts are given.
-    """
-    rows = new
-    if levels is not None:
-        rows = new.withColumn("rank", F.lit(-1)).unionByName(levels.where("rank >= 0").select("doc", "place", "mark", "span", "rank"))
-    sharded = rows.withColumn("shard", F.pmod(F.shiftright("mark", 20), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(lambda pdf: scan_shard(pdf, low, step, store), "doc bigint, place bigint, whole boolean, rank int, mark bigint, span bigint")
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Enter a batch's entries as an array; returns (mark, differ): its marks that another document has, there or in a level, and whether their spans differ.
+
+        Levels of equal rank merge at once, and the merged array, which the scan needs anyway, is written once.
+        """
+        rank, joined = 0, [entries]
+        while self.levels and self.levels[-1][0] == rank:
+            joined.append(self.levels.pop()[1])
+            rank += 1
+        array = materialize(merge(*joined).sortWithinPartitions("mark"))
+        self.levels.append((rank, array))
+        all_ = merge(*(level for _, level in self.levels)) if len(self.levels) > 1 else array
+        return all_.where(F.col("first") != F.col("last")).select("mark", (F.col("low") != F.col("high")).alias("differ"))
+
+    def save(self, path: str) -> None:
+        """Write the levels as Parquet, parted by rank and sorted by mark."""
+        for k, (rank, level) in enumerate(self.levels):
+            level.select(F.lit(rank).alias("rank"), *_ENTRY).sortWithinPartitions("mark").write.mode("append" if k else "overwrite").partitionBy("rank").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Family:
+        family, rows = cls(), spark.read.parquet(path)
+        for (rank,) in sorted(rows.select("rank").distinct().collect(), reverse=True):
+            family.levels.append((rank, rows.where(F.col("rank") == rank).select(*_ENTRY)))
+        return family
+
+
+def decide(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc, place, span, whole), materialized: cells of met marks (mark, differ) that are repeated from end to end, or (not whole) to be compared window by window."""
+    met = materialize(met)
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(met, "mark"))
+    found = materialize(sized_join(texts.mapInArrow(lambda it: cells(it, table=table.value), _CELLS), met, "mark", "inner", 16))
+    firsts = found.groupBy("mark", "span").agg(F.min("doc").alias("first"))
+    known = found.join(firsts, ["mark", "span"]).withColumn("whole", F.col("doc") > F.col("first"))
+    return materialize(known.where("whole or differ").select("doc", "place", "span", "whole"))
 
 
 def _found(w: K.Words, places: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +136,7 @@ def _found(w: K.Words, places: pa.Array, min_words: int) -> tuple[np.ndarray, np
 
 
 def window_rows(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
-    """(doc, places, text) -> (doc, place, span): a place for each window of the named cells."""
+    """(doc, places, text) -> (doc, place, span, lead): a place for each window of the named cells; span and lead are the fingerprints of all its words and of the first half."""
     for part in slices(batches, "text", K.SLICE):
         w = K.words(part.column(2))
         row, begin, count = _found(w, part.column(1), min_words)
@@ -162,8 +144,8 @@ def window_rows(batches: Iterator[pa.RecordBatch], min_words: int = MIN_WORDS) -
             continue
         at = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         owner = np.repeat(row, count)
-        span = K.range_hashes(w.hash, at, at + min_words)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(((at - w.first[owner]) << _BITS) | 1), pa.array(span.view(np.int64))], ["doc", "place", "span"])
+        span, lead = K.windows(w.hash, min_words)[at], K.windows(w.hash, min_words // 2)[at]
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(((at - w.first[owner]) << _BITS) | 1), pa.array(span.view(np.int64)), pa.array(lead.view(np.int64))], ["doc", "place", "span", "lead"])
 
 
 def char_ranges(texts: pa.Array, places: pa.Array, min_words: int = MIN_WORDS) -> pa.Array:
@@ -194,39 +176,41 @@ def _moved(docs: DataFrame, id_col: str, name: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).withColumn(name, F.col(id_col).cast("bigint")).repartition(F.col(name))
 
 
-def repeated_places(docs: DataFrame, moved: DataFrame, name: str, id_col: str, text_col: str, batches: int = BATCHES) -> DataFrame:
+def repeated_places(docs: DataFrame, moved: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
     """(__doc, __places): the repeated windows of each document that has any."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     low, high = slim.agg(F.min("doc"), F.max("doc")).first()
-    low, step = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // batches))
-    found = slim.mapInArrow(cells, "doc bigint, place bigint, mark bigint, span bigint")
-    decided = materialize(scan(found, low, step, shards=pieces(docs, 8 << 20, 8)).select("doc", "place", "span", "whole"))
+    middle = ((low or 0) + (high or 0)) // 2
+    family = Family()
+    family.add(suffix_array(slim.where(F.col("doc") <= middle)))
+    decided = decide(slim, family.add(suffix_array(slim.where(F.col("doc") > middle))))
     compared = decided.where("not whole").groupBy(F.col("doc").alias(name)).agg(F.collect_list(F.struct("place", "span")).alias("places"))
     texts = moved.join(compared.hint("shuffle_hash"), name).select(F.col(name).alias("doc"), "places", F.col(text_col).cast("string").alias("text"), row_key(moved).alias("all"))
-    windows = texts.where(F.col("all").isNotNull()).mapInArrow(window_rows, "doc bigint, place bigint, span bigint")
-    later = windows.withColumn("origin", F.min("doc").over(Window.partitionBy("span"))).where("origin < doc")
-    places = decided.where("whole").drop("whole").unionByName(later.drop("origin"))
+    windows = materialize(texts.where(F.col("all").isNotNull()).mapInArrow(window_rows, "doc bigint, place bigint, span bigint, lead bigint"))
+    origins = windows.groupBy("span", "lead").agg(F.min("doc").alias("origin"), F.max("doc").alias("last")).where("origin < last")
+    later = windows.join(origins, ["span", "lead"]).where("origin < doc").select("doc", "place", "span")
+    places = decided.where("whole").drop("whole").unionByName(later)
     return places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("place", "span")).alias("__places"))
 
 
-def _with_ranges(docs: DataFrame, id_col: str, text_col: str, batches: int = BATCHES) -> tuple[DataFrame, str]:
+def _with_ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs that have an id, with an array of character ranges, null where nothing repeats; and that column's name."""
     small_batches(docs)
     name, ranges, places, doc = fresh(docs, "__id", "__ranges", "__places", "__doc")
     moved = _moved(docs, id_col, name)
-    found = repeated_places(docs, moved, name, id_col, text_col, batches).toDF(doc, places)
+    found = repeated_places(docs, moved, name, id_col, text_col).toDF(doc, places)
     both = moved.join(found.hint("shuffle_hash"), F.col(name) == F.col(doc), "left")
     repeated = F.col(places).isNotNull() & F.col(text_col).isNotNull()
     text = F.when(repeated, F.col(text_col).cast("string"))
     return both.withColumn(ranges, F.when(repeated, _ranges(text, F.col(places)))).select(*[F.col(f"`{c}`") for c in docs.columns], ranges), ranges
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, stop): maximal character ranges whose windows all stand in an earlier document.
 
     start counts from 0, stop is exclusive. id_col must be of an integer type.
     """
-    out, ranges = _with_ranges(docs, id_col, text_col, batches)
+    out, ranges = _with_ranges(docs, id_col, text_col)
     return out.select(id_col, F.explode(ranges).alias("x")).select(id_col, "x.start", "x.stop")
 
 

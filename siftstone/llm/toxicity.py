@@ -1,8 +1,10 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters vote toxic (+1), clean (-1) or abstain. Some look words up in lexicons: a fixed list of insults, and words and
-word beginnings that a bounded sample of labelled rows shows to go with toxicity, split into disjoint lists; others are
-patterns (insulting address, shouting, exclamation) or look at density over the whole text.
+Voters vote toxic (+1), clean (-1) or abstain. Some look words up in lexicons: a fixed list of insults for each of four
+languages, and words and word beginnings that go with toxic labels, dealt to disjoint lists; others are patterns
+(insulting address in four languages, masked letters, shouting, exclamation) or look at density over the whole text.
+Words are counted over all labelled rows by grouped aggregation; near copies of a toxic text, which share their least
+shingle, support a word once.
 
 The label model knows no labels but the class balance. Over all documents it takes the votes' means and second moments,
 fits a rank-one structure to the covariances (two votes that are independent given the class covary by the product of
@@ -11,7 +13,7 @@ voters. Its posterior probabilities label a bounded sample of all documents, on
 over the voters' strengths; that classifier decides every document over its whole text.
 
 Defined cases: null, empty and wordless texts are not toxic; repeated rows get equal scores; null doc_ids are scored
-like others; labels that miss, repeat or contradict are averaged by doc_id; without labels the fixed list and the
+like others; labels that miss, repeat or contradict are averaged by doc_id; without labels the fixed lists and the
 patterns vote alone; an empty table gives an empty table; other columns are passed through.
 """
 
@@ -28,19 +30,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textkernel as K
-from siftstone.llm.common import fresh, slices, small_batches
-from siftstone.llm.near_dedup import contained_groups
+from siftstone.llm.common import fresh, materialize, sized_join, slices, small_batches
 
-#: Bounds of the two samples: labelled rows that the lexicons are taken from, documents that the classifier is fitted on.
-LABELLED, FITTED = 6000, 20000
+#: Bounds of the sample of documents that the classifier is fitted on, and of the words that may enter the lexicons (the best supported ones).
+FITTED, WORDS = 20000, 1 << 20
 LISTS, PREFIXES = 6, (4, 5, 6, 7, 8, 9)
 LIFT, SUPPORT, BALANCE = 8.0, 5, 0.1
-INSULTS = """idiot idiots moron morons stupid dumb dumbass loser losers scum trash worthless pathetic disgusting clown clowns imbecile
-fool retard bastard jerk creep freak coward vermin degenerate filth garbage shitty shit fuck fucking bitch asshole crap
-idiotisch dumm dummkopf trottel arschloch scheisse scheiße abschaum versager wertlos ekelhaft blödmann drecksack
-idiote imbécile connard connasse salaud merde ordure débile pourriture minable crétin abruti dégoûtant
-idiota imbécil estúpido estúpida basura mierda cabrón pendejo gilipollas escoria asqueroso patético inútil payaso""".split()
-ADDRESS = re.compile(rb"\b(?:you(?: are|'re)?|this|these|such)(?: an?| all)? (?:idiots?|morons?|losers?|clowns?|scum|trash|fools?|freaks?)\b", re.I)
+INSULTS = {
+    "en": """idiot idiots moron morons stupid dumb dumbass loser losers scum trash worthless pathetic disgusting clown clowns imbecile
+fool retard bastard jerk creep freak coward vermin degenerate filth garbage shitty shit fuck fucking bitch asshole crap""",
+    "de": "idiotisch dumm dummkopf trottel arschloch scheisse scheiße abschaum versager wertlos ekelhaft blödmann drecksack",
+    "fr": "idiote imbécile connard connasse salaud merde ordure débile pourriture minable crétin abruti dégoûtant",
+    "es": "idiota imbécil estúpido estúpida basura mierda cabrón pendejo gilipollas escoria asqueroso patético inútil payaso",
+}
+#: An insulting address, with the words of every list; letters masked by stars or digits within a word.
+ADDRESS = re.compile(
+    (
+        r"\b(?:you(?:(?:'re)|(?: are))?|this|these|such|du|ihr|sie sind|bist|seid|tu es|vous êtes|t'es|espèce d[e']|eres|sois|son|usted es)(?: an?| all| ein(?:e|en)?| une?| des| una?s?| unos)? ?(?:"
+        + "|".join(sorted({re.escape(w) for words in INSULTS.values() for w in words.split()} | {"freaks", "fools"}, key=lambda w: (-len(w), w)))
+        + r")\b"
+    ).encode(),
+    re.I,
+)
+MASKED = re.compile(rb"\b[a-z]{1,3}(?:\*{1,4}|[@$#%]{2,4})[a-z]{1,4}\b", re.I)
+#: Columns of strengths(): mined lists, fixed lists, then these.
+_FIXED, _ANY = LISTS, LISTS + len(INSULTS)
+_WORDS, _CAPITALS, _SHOUTS, _ADDRESS, _MASKED, _ALL = (_ANY + k for k in range(1, 7))
 
 
 def word_hash(words: list[str]) -> np.ndarray:
@@ -50,23 +65,25 @@ def word_hash(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Hashes of the fixed list and of what was mined; mined hits are dealt to disjoint lists by the hash of the whole word."""
+    """Hashes of the fixed lists and of what was mined; mined hits are dealt to disjoint lists by the hash of the whole word."""
 
-    fixed: np.ndarray
+    fixed: list[np.ndarray]
     mined: np.ndarray
 
     def __post_init__(self) -> None:
-        self.all = np.union1d(self.fixed, self.mined)
-        self.is_fixed = np.isin(self.all, self.fixed)
+        self.all = np.unique(np.concatenate([*self.fixed, self.mined]))
+        self.owner = np.full(len(self.all), -1)
+        for k in range(len(self.fixed))[::-1]:
+            self.owner[np.isin(self.all, self.fixed[k])] = k
         self.quick = np.zeros(1 << 18, bool)
         self.quick[self.all & K.U((1 << 18) - 1)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places that are in the lexicon, and whether in the fixed list."""
+        """Places that are in the lexicon, and the number of their fixed list, -1 for mined ones."""
         maybe = np.flatnonzero(self.quick[hashes & K.U((1 << 18) - 1)])
         at = np.minimum(np.searchsorted(self.all, hashes[maybe]), len(self.all) - 1)
         sure = self.all[at] == hashes[maybe]
-        return maybe[sure], self.is_fixed[at[sure]]
+        return maybe[sure], self.owner[at[sure]]
 
 
 def beginnings(w: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,49 +96,54 @@ def beginnings(w: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def strengths(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """One row per text: hits of each list, hits of any, words, capitals' share, exclamations, insulting addresses."""
+    """One row per text: hits of each list, hits of any, words, capitals' share, exclamations, insulting addresses, masked words."""
     w = K.words(texts)
     n = len(texts)
-    out = np.zeros((n, LISTS + 7), np.float32)
+    out = np.zeros((n, _ALL), np.float32)
     list_of = np.full(len(w.start), -1)
-    for places, hashes in beginnings(w):
-        at, fixed = lexicon.find(hashes)
+    for k, (places, hashes) in enumerate(beginnings(w)):
+        at, owner = lexicon.find(hashes)
         hit = places[at]
-        whole = fixed & (len(places) == len(w.start))
-        list_of[hit] = np.where(whole | (list_of[hit] == LISTS), LISTS, (w.hash[hit] % K.U(LISTS)).astype(np.int64))
+        fixed = (owner >= 0) & (k == 0)
+        dealt = np.where(list_of[hit] >= _FIXED, list_of[hit], (w.hash[hit] % K.U(LISTS)).astype(np.int64))
+        list_of[hit] = np.where(fixed, _FIXED + owner, dealt)
     hits = list_of >= 0
-    for k in range(LISTS + 1):
+    for k in range(_ANY):
         out[:, k] = np.bincount(w.doc[list_of == k], minlength=n)
-    out[:, LISTS + 1] = np.bincount(w.doc[hits], minlength=n)
-    out[:, LISTS + 2] = np.diff(w.first)
+    out[:, _ANY] = np.bincount(w.doc[hits], minlength=n)
+    out[:, _WORDS] = np.diff(w.first)
     size = np.diff(w.offsets)
-    for column, mask in ((LISTS + 3, (w.raw >= 65) & (w.raw <= 90)), (LISTS + 4, w.raw == 33)):
+    for column, mask in ((_CAPITALS, (w.raw >= 65) & (w.raw <= 90)), (_SHOUTS, w.raw == 33)):
         count = np.r_[0, np.cumsum(mask)]
         out[:, column] = (count[w.offsets[1:]] - count[w.offsets[:-1]]) / np.maximum(size, 1)
     data = w.raw.tobytes()
-    for match in ADDRESS.finditer(data):
-        out[np.searchsorted(w.offsets, match.start(), side="right") - 1, LISTS + 5] += 1
+    for column, pattern in ((_ADDRESS, ADDRESS), (_MASKED, MASKED)):
+        for match in pattern.finditer(data):
+            out[np.searchsorted(w.offsets, match.start(), side="right") - 1, column] += 1
     return out
 
 
 def features(x: np.ndarray) -> np.ndarray:
     """The classifier's inputs: logarithms of counts and densities."""
-    words = np.maximum(x[:, LISTS + 2 : LISTS + 3], 1)
-    return np.concatenate([np.log1p(x[:, : LISTS + 2]), np.log1p(1000 * x[:, : LISTS + 2] / words), x[:, LISTS + 3 : LISTS + 5], np.log1p(x[:, LISTS + 5 : LISTS + 6])], axis=1).astype(np.float64)
+    words = np.maximum(x[:, _WORDS : _WORDS + 1], 1)
+    counts = x[:, : _ANY + 1]
+    return np.concatenate([np.log1p(counts), np.log1p(1000 * counts / words), x[:, [_CAPITALS, _SHOUTS]], np.log1p(x[:, [_ADDRESS, _MASKED]])], axis=1).astype(np.float64)
 
 
 def votes(x: np.ndarray) -> np.ndarray:
     """The voters' votes, -1, 0 or 1."""
-    words = np.maximum(x[:, LISTS + 2], 1)
-    density = x[:, : LISTS + 2] / words[:, None]
+    words = np.maximum(x[:, _WORDS], 1)
+    density = x[:, : _ANY + 1] / words[:, None]
+    lists = (x[:, :_FIXED] >= 1).sum(axis=1)
     out = [np.where((x[:, k] >= 2) & (density[:, k] >= 0.0015), 1, 0) for k in range(LISTS)]
-    out.append(np.where(x[:, LISTS] >= 2, 1, 0))
-    out.append(np.where(density[:, LISTS + 1] >= 0.012, 1, np.where(density[:, LISTS + 1] < 0.005, -1, 0)))
-    out.append(np.where(x[:, LISTS + 1] == 0, -1, np.where(x[:, LISTS + 1] >= 3, 1, 0)))
-    out.append(np.where((x[:, :LISTS] >= 1).sum(axis=1) >= 3, 1, np.where((x[:, :LISTS] >= 1).sum(axis=1) <= 1, -1, 0)))
-    out.append(np.where(x[:, LISTS + 3] > 0.5, 1, 0))
-    out.append(np.where(x[:, LISTS + 4] > 0.02, 1, 0))
-    out.append(np.where(x[:, LISTS + 5] > 0, 1, 0))
+    out += [np.where(x[:, k] >= 2, 1, 0) for k in range(_FIXED, _ANY)]
+    out.append(np.where(density[:, _ANY] >= 0.012, 1, np.where(density[:, _ANY] < 0.005, -1, 0)))
+    out.append(np.where(x[:, _ANY] == 0, -1, np.where(x[:, _ANY] >= 3, 1, 0)))
+    out.append(np.where(lists >= 3, 1, np.where(lists <= 1, -1, 0)))
+    out.append(np.where(x[:, _CAPITALS] > 0.5, 1, 0))
+    out.append(np.where(x[:, _SHOUTS] > 0.02, 1, 0))
+    out.append(np.where(x[:, _ADDRESS] > 0, 1, 0))
+    out.append(np.where(x[:, _MASKED] > 0, 1, 0))
     return np.stack(out, axis=1).astype(np.int8)
 
 
@@ -218,44 +240,64 @@ def fit_classifier(f: np.ndarray, p: np.ndarray, l2: float = 1e-3, rounds: int =
     return Classifier(center, scale, w[:-1], float(w[-1]))
 
 
-def mine(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words and beginnings that go with toxic labels.
-
-    Near copies of a toxic text support a word once.
-    """
-    bad = np.flatnonzero(toxic >= 0.5)
-    group = contained_groups(pa.array([texts[i] for i in bad], pa.string()))
-    once = np.ones(len(texts), bool)
-    once[bad] = group == np.arange(len(bad))
-    texts, toxic = [t for t, keep in zip(texts, once, strict=True) if keep], toxic[once]
-    kinds: list[list[np.ndarray]] = [[], []]
-    for at in range(0, len(texts), 200):
-        w = K.words(pa.array(texts[at : at + 200], pa.string()))
-        parts = [(w.doc[places], hashes) for places, hashes in beginnings(w)]
-        doc, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((doc, hashes))
-        doc, hashes = doc[order], hashes[order]
-        first = np.r_[True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])] if len(doc) else np.zeros(0, bool)
-        label = toxic[at : at + 200][doc[first]] >= 0.5
-        kinds[1].append(hashes[first][label])
-        kinds[0].append(hashes[first][~label])
-    if not kinds[1] or not any(len(x) for x in kinds[1]):
+def _items(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct words and beginnings of each text, ordered by hash."""
+    w = K.words(texts)
+    parts = [(w.doc[places], hashes) for places, hashes in beginnings(w)]
+    doc, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((doc, hashes))
+    doc, hashes = doc[order], hashes[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return doc[first], hashes[first]
+
+
+def supported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) of toxic rows -> distinct (item, copy): words and beginnings, and the least shingle of the text."""
+    for part in slices(batches, "text", K.SLICE):
+        hashes, doc = K.shingle_sets(K.words(part.column(0)), 3)
+        copy = np.zeros(part.num_rows, K.U)
+        if len(doc):
+            at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            copy[doc[at]] = hashes[at]
+        doc, items = _items(part.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(copy[doc].view(np.int64))], ["item", "copy"])
+
+
+def counted(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(text) of clean rows -> (i, n): in how many of the partition's texts each known item stands; i = len(known): the texts."""
+    total = np.zeros(len(known) + 1, np.int64)
+    for part in slices(batches, "text", K.SLICE):
+        total[-1] += part.num_rows
+        _, items = _items(part.column(0))
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        total += np.bincount(at[known[at] == items], minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "n"])
+
+
+def mine(rows: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Hashes of words and beginnings that go with toxic labels, counted over all rows (text, y)."""
+    toxic, clean = rows.where("y >= 0.5").select("text"), rows.where("y < 0.5").select("text")
+    found = toxic.mapInArrow(supported, "item bigint, copy bigint")
+    items = found.distinct().groupBy("item").agg(F.count("*").alias("n"))
+    some = items.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "item").limit(words).toPandas().sort_values("item", key=lambda x: x.to_numpy(np.int64).view(K.U))
+    if not len(some):
         return np.zeros(0, K.U)
-    items, with_toxic = np.unique(np.concatenate(kinds[1]), return_counts=True)
-    items, with_toxic = items[with_toxic >= SUPPORT], with_toxic[with_toxic >= SUPPORT]
-    clean = np.concatenate(kinds[0])
-    at = np.minimum(np.searchsorted(items, clean), max(len(items) - 1, 0))
-    with_clean = np.bincount(at[items[at] == clean], minlength=len(items)) if len(items) and len(clean) else np.zeros(len(items))
-    n1, n0 = (toxic >= 0.5).sum(), (toxic < 0.5).sum()
-    lift = ((with_toxic + 0.5) / (n1 + 1)) / ((with_clean + 0.5) / (n0 + 1))
-    return items[lift >= LIFT]
+    known, with_toxic = some["item"].to_numpy(np.int64).view(K.U), some["n"].to_numpy(np.int64)
+    n1 = found.select("copy").distinct().count()
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    rest = clean.mapInArrow(lambda it: counted(it, shared.value), "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    with_clean = np.zeros(len(known) + 1)
+    with_clean[rest["i"].to_numpy(int)] = rest["n"].to_numpy(float)
+    lift = ((with_toxic + 0.5) / (n1 + 1)) / ((with_clean[:-1] + 0.5) / (with_clean[-1] + 1))
+    return known[lift >= LIFT]
 
 
 def bounded(df: DataFrame, column: str, bound: int, total: int) -> DataFrame:
-    """At most about `bound` rows of df, chosen by a hash of column; all of them where there are no more."""
+    """About `bound` rows of df at most, chosen by a hash of column; all of them where there are no more. Values of column must be distinct."""
     if total <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * bound / total))
+    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * bound / total)).limit(2 * bound)
 
 
 @dataclass
@@ -265,34 +307,33 @@ class Model:
     classifier: Classifier
 
 
-def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, fitted: int = FITTED) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fitted: int = FITTED) -> Model:
     small_batches(docs)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     mined, balance = np.zeros(0, K.U), BALANCE
     if labels is not None:
-        known = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("toxic").alias("y")).where("id is not null")
-        sample = F.broadcast(bounded(known, "id", labelled, known.count()))
-        rows = slim.where("text is not null").join(sample, "id").select("text", "y").toPandas()
-        if len(rows):
-            rows = rows.sort_values(["text", "y"])
-            y = rows["y"].to_numpy()
-            mined = mine(rows["text"].tolist(), y)
-            balance = float(np.clip((y >= 0.5).mean(), 0.02, 0.5))
-    lexicon = Lexicon(word_hash(INSULTS), mined)
+        known = materialize(labels.where("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("toxic").alias("y")).where("id is not null"))
+        rows = sized_join(slim, known, "id", "inner", 24).select("text", "y")
+        mined = mine(rows)
+        share = rows.agg(F.avg(F.when(F.col("y") >= 0.5, 1.0).otherwise(0.0))).first()[0]
+        balance = BALANCE if share is None else float(np.clip(share, 0.02, 0.5))
+    lexicon = Lexicon([word_hash(words.split()) for words in INSULTS.values()], mined)
     shared = slim.sparkSession.sparkContext.broadcast(lexicon)
-    rows = slim.select("text").where("text is not null").mapInArrow(lambda it: moments(it, shared.value), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    size = 2 * votes(np.zeros((1, LISTS + 7))).shape[1] + 1
+    rows = slim.select("text").mapInArrow(lambda it: moments(it, shared.value), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    size = 2 * votes(np.zeros((1, _ALL))).shape[1] + 1
     moment = np.zeros(size * size)
     moment[rows["i"].to_numpy(int)] = rows["v"].to_numpy(float)
     model = fit_label_model(moment.reshape(size, size), balance)
 
     def sampled(batches):
         for part in slices(batches, "text", K.SLICE):
-            x = strengths(part.column(0), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["x"])
+            x = strengths(part.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["h", "x"])
 
-    some = bounded(slim.where("text is not null"), "text", fitted, int(moment[0])).select("text").mapInArrow(sampled, "x array<float>").toPandas()
-    x = np.stack(some["x"].to_numpy()) if len(some) else np.zeros((1, LISTS + 7), np.float32)
+    # chosen by text and once per distinct text, so that a text with any number of copies can't exceed the bound
+    part = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, fitted / max(1.0, moment[0])))
+    some = slim.select(F.xxhash64("text", F.lit(5)).alias("h"), "text").where(part).mapInArrow(sampled, "h bigint, x array<float>").dropDuplicates(["h"]).limit(2 * fitted).toPandas()
+    x = np.stack(some["x"].to_numpy()) if len(some) else np.zeros((1, _ALL), np.float32)
     x = x[np.lexsort(x.T)]
     return Model(lexicon, model, fit_classifier(features(x), model.posterior(votes(x))))
 
@@ -308,7 +349,7 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity", text_col: str
         batch = pa.RecordBatch.from_arrays([array], ["text"])
         for part in slices(iter([batch]), "text", K.SLICE):
             x = strengths(part.column(0), shared.value.lexicon)
-            out.append(np.where(x[:, LISTS + 2] > 0, shared.value.classifier.score(features(x)), 0.0))
+            out.append(np.where(x[:, _WORDS] > 0, shared.value.classifier.score(features(x)), 0.0))
             start += part.num_rows
         return pd.Series(np.concatenate(out)) if out else pd.Series([], dtype="float64")
 

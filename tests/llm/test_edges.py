@@ -85,6 +85,10 @@ def test_near(odd, none):
     assert ids.count(1) == 1 and ids.count(2) == 0 and ids.count(10) == 2
     assert {3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15} <= set(ids) and ids.count(None) == 4
     assert near_dedup.near_dedup(none).count() == 0
+    rows = near_dedup.near_classes(odd).collect()
+    assert len(rows) == odd.count() and sum(r["keep"] for r in rows if r["doc_id"] == 1) == 1
+    assert {r["class_id"] for r in rows if r["doc_id"] in (1, 2)} == {1} and {r["links"] for r in rows if r["doc_id"] in (1, 2, 3, 4)} == {0}
+    assert near_dedup.near_classes(none).count() == 0
 
 
 def test_toxicity(odd, none, labels):
@@ -130,6 +134,18 @@ def test_fingerprints(odd, none):
     assert fingerprints.edits(fingerprints.fingerprint(none), fingerprints.fingerprint(none)).count() == 0
 
 
+def test_edits(spark):
+    """Changed, repeated, moved and re-parted paragraphs, and documents in one table only."""
+    before = [(1, "a\nb\n\nc\n\nd"), (2, "a\na\nb"), (3, "a\nb\nc"), (4, "a\nb"), (5, "x"), (6, None), (7, "same\n\n same"), (8, ""), (9, "a\n\nb\n\na")]
+    after = [(1, "a\nb\n\nC\n\nd"), (2, "a\nb"), (3, "b\na\nc"), (4, "a\n\nb"), (6, "y"), (7, "same\n\n same"), (8, "z"), (9, "b\n\na\n\na"), (10, "new")]
+    trees = [fingerprints.fingerprint(spark.createDataFrame(x, "doc_id bigint, text string")) for x in (before, after)]
+    got = sorted((r["doc_id"], r["change"], r["section"], r["paragraph"]) for r in fingerprints.edits(*trees).collect())
+    assert got == sorted(
+        [(1, "added", 1, 0), (1, "removed", 1, 0), (2, "removed", 0, 1), (3, "moved", 0, 0), (3, "moved", 0, 1), (4, "moved", 1, 0), (5, "removed", 0, 0), (6, "added", 0, 0), (8, "added", 0, 0), (8, "removed", 0, 0)]
+        + [(9, "moved", 0, 0), (9, "moved", 1, 0), (10, "added", 0, 0)]
+    )
+
+
 def test_language(odd, none):
     rows = language.identify(odd, language.train(odd)).collect()
     assert len(rows) == odd.count()
