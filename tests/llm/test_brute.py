@@ -112,6 +112,21 @@ def test_near(spark, seed):
     assert np.mean([r["class_id"] == want[d][0] for d, r in got.items()]) >= 0.98
 
 
+def test_near_hot(spark, monkeypatch):
+    """Passages of many documents, alone, joined and with a little of their own, find the documents that hold them."""
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    passages = [list(rng.choice(words, 70)) for _ in range(3)]
+    rows = [[*rng.choice(words, rng.integers(100, 300)), *passages[k % 3], *rng.choice(words, 30)] for k in range(40)]
+    rows += [passages[0], passages[1] + list(rng.choice(words, 12)), passages[0] + passages[1], passages[2][:50], list(rng.choice(words, 80)) + passages[2]]
+    rows += [passages[0] + passages[1] + list(rng.choice(words, 200))]
+    rows = [(d, " ".join(x)) for d, x in enumerate(rows)]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute.near_classes(rows)
+    assert got == want and want[40][1] >= 14
+
+
 def test_near_blocks(spark, monkeypatch):
     """A cluster larger than a block and buckets larger than a piece lose no link."""
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
