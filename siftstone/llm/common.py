@@ -78,8 +78,8 @@ def row_id(df: DataFrame) -> Column:
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 32) -> DataFrame:
-    """Join with a materialized right side: broadcast if its counted rows fit BROADCAST_BYTES, else an ordinary shuffled join."""
-    if right.count() * row_bytes <= BROADCAST_BYTES:
+    """Join with a materialized right side: broadcast if its counted rows fit BROADCAST_BYTES (64 bytes a row at least, as measured), else an ordinary shuffled join."""
+    if right.count() * max(64, row_bytes) <= BROADCAST_BYTES:
         right = F.broadcast(right)
     return left.join(right, on, how)
 
@@ -106,7 +106,7 @@ def drop_rows(docs: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
 BITS = 26
 
 
-_CHUNK = 14
+_CHUNK, _SHIFTS = 14, (29, 17)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +124,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bit_table(keys: DataFrame, column: str):
-    """A table of BITS bits with one set for each value of a bigint column; the driver gets its 8 MB, whatever the number of values.
+    """A table of BITS bits with two set for each value of a bigint column; the driver gets its 8 MB, whatever the number of values.
 
     in_table() is true for every value that was entered, and for few others while there are fewer values than bits; with
     more it thins out less, but never loses one.
     """
     import numpy as np
 
-    at = F.shiftrightunsigned(F.col(column).bitwiseXOR(F.shiftleft(column, 29)), 64 - BITS)
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("w"), at.alias("p")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+    at = [F.shiftrightunsigned(F.col(column).bitwiseXOR(F.shiftleft(column, shift)), 64 - BITS) for shift in _SHIFTS]
+    places = keys.select(F.explode(F.array(*at)).alias("p"))
+    words = places.select(F.shiftright("p", 6).cast("int").alias("w"), "p").groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
     packed = words.repartition(16, F.shiftright("w", _CHUNK)).mapInArrow(_chunks, "chunk int, words binary").toArrow()
     table = np.zeros(1 << (BITS - 6), np.int64)
     for batch in packed.to_batches():
@@ -147,8 +148,13 @@ def in_table(table, values):
     """Places of the 64-bit values that the table may hold."""
     import numpy as np
 
-    bit = ((values ^ (values << np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.flatnonzero((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+    at = None
+    for shift in _SHIFTS:
+        some = values if at is None else values[at]
+        bit = ((some ^ (some << np.uint64(shift))) >> np.uint64(64 - BITS)).astype(np.int64)
+        hit = np.flatnonzero((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+        at = hit if at is None else at[hit]
+    return at
 
 
 #: glibc's: gives the heap's free pages back when a task ends, as workers outlive their tasks; None elsewhere.

@@ -3,9 +3,9 @@
 Longer documents than a bin are cut into full bins and a rest. Documents are spread over groups by row hash; a group packs
 on its own: best fit in order of decreasing length gives a first packing; then a local search takes the least filled bin
 and lets it give tokens to fuller ones, by moving a document, by exchanging one for one, or two for one in either
-direction. Every step raises the sum of squared fills; a bin that empties goes. Bins that can give nothing are tried again
-as long as others change. What stays underfilled is no group's own: the open bins of `JOIN` groups are packed together by
-the same search, and so on level by level until one group is left, so that the table ends with the open bins of one search.
+direction. Every step raises the sum of squared fills; a bin that empties goes. Passes over the bins go on until one
+changes nothing. Bins that stay less than `FILLED` full are no group's own: those of `JOIN` groups are packed together by the
+same search, and so on level by level until one group is left, so that the table ends with the underfilled bins of one search.
 
 Tokens are runs of characters other than white space; in scripts written without spaces each character is one. Defined
 cases: null, empty and blank texts have no tokens and get one row with a null bin; each of repeated rows is packed; null
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from siftstone.llm import textkernel as K
 from siftstone.llm.common import materialize, row_key
 
-#: Tokens of a bin; documents of a group; groups whose open bins are packed together on the next level.
-CAPACITY, GROUP, JOIN = 2048, 1 << 13, 64
+#: Tokens of a bin; documents of a group; groups whose underfilled bins are packed together on the next level; the fill from which a bin isn't.
+CAPACITY, GROUP, JOIN, FILLED = 2048, 1 << 13, 64, 15 / 16
 #: A token: a character of a script without spaces, or a run of others (Java).
 TOKEN = rf"[{K.SOLO_CLASS}]|[^\s{K.SOLO_CLASS}]+"
 
@@ -71,7 +71,12 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     now = [b for _, b in order]
     fill = np.array([n for n, _ in order], np.int64)
     tried = np.zeros(len(now), bool)
-    while len(now) > 1 and not tried.all():
+    changed = False
+    while len(now) > 1:
+        if tried.all():
+            if not changed:
+                break
+            tried[:], changed = False, False
         at = int(np.where(tried, capacity + 1, fill).argmin())
         pick = _best(now, fill, at, lengths, capacity)
         if pick is None:
@@ -82,8 +87,7 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
         now[k] = [i for i in now[k] if i not in back] + list(out)
         fill[at] -= gain
         fill[k] += gain
-        # both have other documents now: they, and the bins that only waited for such a change, may give again
-        tried[:] = False
+        changed = True
         gone = [x for x in (at, k) if fill[x] == 0 or fill[x] == capacity]
         full += [now[x] for x in gone if fill[x]]
         if gone:
@@ -145,15 +149,18 @@ def _two_for_one(donor, targets, room, least, lengths):
         if gain.max():
             x, y = np.unravel_index(gain.argmax(), gain.shape)
             best = int(gain[x, y]), (int(owner[y]), (int(a[x]), int(b[x])), (int(items[y]),))
-    for k, target in enumerate(targets):
-        if len(target) < 2:
-            continue
-        a, b = _pairs(target)
-        gain = lengths[donor][:, None] - (lengths[a] + lengths[b])[None, :]
-        gain = np.where((gain > max(least[k], 0)) & (gain <= room[k]), gain, 0)
-        if gain.max() > best[0]:
-            x, y = np.unravel_index(gain.argmax(), gain.shape)
-            best = int(gain[x, y]), (k, (donor[x],), (int(a[y]), int(b[y])))
+    sizes = np.array([len(t) for t in targets])
+    flat = np.array([i for t in targets for i in t])
+    begin = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 1]):
+        of = np.flatnonzero(sizes == n)
+        x, y = np.triu_indices(n, 1)
+        a, b = flat[begin[of][:, None] + x], flat[begin[of][:, None] + y]
+        gain = lengths[donor][:, None, None] - (lengths[a] + lengths[b])[None]
+        gain = np.where((gain > np.maximum(least[of], 0)[None, :, None]) & (gain <= room[of][None, :, None]), gain, 0)
+        if gain.max(initial=0) > best[0]:
+            d, k, p = np.unravel_index(gain.argmax(), gain.shape)
+            best = int(gain[d, k, p]), (int(of[k]), (donor[d],), (int(a[k, p]), int(b[k, p])))
     return best
 
 
@@ -197,7 +204,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
         if groups == 1:
             break
         packed = materialize(packed)
-        done = done.unionByName(packed.where(F.col("fill") == capacity))
+        done = done.unionByName(packed.where(F.col("fill") >= FILLED * capacity))
         groups, level = -(-groups // JOIN), level + 1
-        left = packed.where(F.col("fill") < capacity).select(*items.columns).withColumn("grp", F.expr(f"grp div {JOIN}"))
+        left = packed.where(F.col("fill") < FILLED * capacity).select(*items.columns).withColumn("grp", F.expr(f"grp div {JOIN}"))
     return done.unionByName(packed).select(F.when(~F.col("none"), F.col("id")).alias(id_col), "piece", "start", "tokens", "bin", "place")

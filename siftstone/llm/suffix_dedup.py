@@ -94,7 +94,13 @@ class Family:
             rank += 1
         array = materialize(merge(*joined).sortWithinPartitions("mark"))
         self.levels.append((rank, array))
-        all_ = merge(*(level for _, level in self.levels)) if len(self.levels) > 1 else array
+        older = Family()
+        older.levels = self.levels[:-1]
+        return older.scan(array)
+
+    def scan(self, entries: DataFrame) -> DataFrame:
+        """What add() returns, without entering the batch."""
+        all_ = merge(entries, *(level for _, level in self.levels))
         return all_.where(F.col("first") != F.col("last")).select("mark", (F.col("low") != F.col("high")).alias("differ"))
 
     def save(self, path: str) -> None:
@@ -183,10 +189,10 @@ def repeated_places(docs: DataFrame, moved: DataFrame, name: str, id_col: str, t
     middle = ((low or 0) + (high or 0)) // 2
     family = Family()
     family.add(suffix_array(slim.where(F.col("doc") <= middle)))
-    decided = decide(slim, family.add(suffix_array(slim.where(F.col("doc") > middle))))
+    decided = decide(slim, family.scan(suffix_array(slim.where(F.col("doc") > middle))))
     compared = decided.where("not whole").groupBy(F.col("doc").alias(name)).agg(F.collect_list(F.struct("place", "span")).alias("places"))
     texts = moved.join(compared.hint("shuffle_hash"), name).select(F.col(name).alias("doc"), "places", F.col(text_col).cast("string").alias("text"), row_key(moved).alias("all"))
-    windows = materialize(texts.where(F.col("all").isNotNull()).mapInArrow(window_rows, "doc bigint, place bigint, span bigint, lead bigint"))
+    windows = texts.where(F.col("all").isNotNull()).mapInArrow(window_rows, "doc bigint, place bigint, span bigint, lead bigint")
     origins = windows.groupBy("span", "lead").agg(F.min("doc").alias("origin"), F.max("doc").alias("last")).where("origin < last")
     later = windows.join(origins, ["span", "lead"]).where("origin < doc").select("doc", "place", "span")
     places = decided.where("whole").drop("whole").unionByName(later)

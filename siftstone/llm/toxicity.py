@@ -43,16 +43,11 @@ fool retard bastard jerk creep freak coward vermin degenerate filth garbage shit
     "fr": "idiote imbécile connard connasse salaud merde ordure débile pourriture minable crétin abruti dégoûtant",
     "es": "idiota imbécil estúpido estúpida basura mierda cabrón pendejo gilipollas escoria asqueroso patético inútil payaso",
 }
-#: An insulting address, with the words of every list; letters masked by stars or digits within a word.
+#: What stands before a word of a fixed list in an insulting address; letters masked by signs within a word.
 ADDRESS = re.compile(
-    (
-        r"\b(?:you(?:(?:'re)|(?: are))?|this|these|such|du|ihr|sie sind|bist|seid|tu es|vous êtes|t'es|espèce d[e']|eres|sois|son|usted es)(?: an?| all| ein(?:e|en)?| une?| des| una?s?| unos)? ?(?:"
-        + "|".join(sorted({re.escape(w) for words in INSULTS.values() for w in words.split()} | {"freaks", "fools"}, key=lambda w: (-len(w), w)))
-        + r")\b"
-    ).encode(),
-    re.I,
+    rb"(?:^|[^a-z])(?:you(?:'re|(?: are)?)|this|these|such|du|ihr|sie sind|bist|seid|tu es|t'es|vous \xc3\xaates|esp\xc3\xa8ce d[e']|eres|sois|son|usted es)(?: an?| all| so| ein(?:e|en)?| une?| des| una?s?| unos)? ?$", re.I
 )
-MASKED = re.compile(rb"\b[a-z]{1,3}(?:\*{1,4}|[@$#%]{2,4})[a-z]{1,4}\b", re.I)
+MASKED = re.compile(rb"(?<=[A-Za-z])(?:\*{1,4}|[@$#%]{2,4})(?=[A-Za-z])")
 #: Columns of strengths(): mined lists, fixed lists, then these.
 _FIXED, _ANY = LISTS, LISTS + len(INSULTS)
 _WORDS, _CAPITALS, _SHOUTS, _ADDRESS, _MASKED, _ALL = (_ANY + k for k in range(1, 7))
@@ -117,9 +112,11 @@ def strengths(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         count = np.r_[0, np.cumsum(mask)]
         out[:, column] = (count[w.offsets[1:]] - count[w.offsets[:-1]]) / np.maximum(size, 1)
     data = w.raw.tobytes()
-    for column, pattern in ((_ADDRESS, ADDRESS), (_MASKED, MASKED)):
-        for match in pattern.finditer(data):
-            out[np.searchsorted(w.offsets, match.start(), side="right") - 1, column] += 1
+    for k in np.flatnonzero(list_of >= _FIXED):
+        begin = max(w.offsets[w.doc[k]], w.start[k] - 24)
+        out[w.doc[k], _ADDRESS] += ADDRESS.search(data[begin : w.start[k]]) is not None
+    for match in MASKED.finditer(data):
+        out[np.searchsorted(w.offsets, match.start(), side="right") - 1, _MASKED] += 1
     return out
 
 

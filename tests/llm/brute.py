@@ -77,11 +77,15 @@ def near_classes(rows, ratio=1.25):
     count = [0] * len(order)
     holder = {}
     for small, large, share in links:
-        count[small] += 1
-        count[large] += 1
+        if len(order[large]) <= ratio * len(order[small]) + 1e-9:
+            count[small] += 1
+            count[large] += 1
         if len(order[large]) > ratio * len(order[small]) + 1e-9:
             holder.setdefault(small, []).append((-share, -len(order[large]), first[large], large))
     holder = {k: min(v)[3] for k, v in holder.items()}
+    for small, large in holder.items():
+        count[small] += 1
+        count[large] += 1
     parent = list(range(len(order)))
 
     def root(x):
