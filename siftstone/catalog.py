@@ -1,4 +1,9 @@
-"""Named tables below a root: every write is a new version, and a pointer is swapped last, so that readers see whole tables."""
+"""Named tables below a root.
+
+Every write is a new version; then the table's own pointer file is replaced by a rename, so that readers see whole tables
+and writers of different tables don't undo each other's work. The version before stays until the next write, for those
+who hold it.
+"""
 
 from __future__ import annotations
 
@@ -30,9 +35,16 @@ class Catalog:
             stream.close()
 
     def write_json(self, name: str, value: dict) -> None:
-        stream = self._fs.create(self._path(name), True)
+        """Write a new file and rename it over the old one."""
+        new = self._path(f"{name}.{uuid.uuid4().hex}")
+        stream = self._fs.create(new, True)
         stream.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
         stream.close()
+        hadoop, conf = self.spark._jvm.org.apache.hadoop, self.spark._jsc.hadoopConfiguration()
+        files = hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        overwrite = self.spark.sparkContext._gateway.new_array(getattr(hadoop.fs, "Options$Rename"), 1)
+        overwrite[0] = getattr(hadoop.fs, "Options$Rename").OVERWRITE
+        files.rename(self._fs.makeQualified(new), self._fs.makeQualified(self._path(name)), overwrite)
 
     @staticmethod
     def checked(name: str) -> str:
@@ -40,27 +52,33 @@ class Catalog:
             raise ValueError(f"not a table name: {name!r}")
         return name
 
+    def _pointer(self, name: str) -> str:
+        return f"_tables/{self.checked(name)}.json"
+
     def tables(self) -> dict[str, str]:
-        return self.read_json("_tables.json")
+        """The folder of each table's version."""
+        where = self._path("_tables")
+        names = [f.getPath().getName() for f in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        found = {n.removesuffix(".json"): self.read_json(f"_tables/{n}") for n in names if re.fullmatch(r"[a-z][a-z0-9_]*\.json", n)}
+        return {n: v["now"] for n, v in found.items() if v}
 
     def has(self, name: str) -> bool:
-        return name in self.tables()
+        return bool(self.read_json(self._pointer(name)))
 
     def read(self, name: str) -> DataFrame:
-        where = self.tables().get(name)
+        where = self.read_json(self._pointer(name)).get("now")
         if where is None:
             raise KeyError(f"no table {name}")
         return self.spark.read.parquet(f"{self.root}/{where}")
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replace a table. The version before goes only after the pointer has moved, as rows may read from it."""
+        """Replace a table. Of the older versions the last stays; those before it go after the pointer has moved."""
         where = f"{self.checked(name)}/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{where}")
-        tables = self.tables()
-        old, tables[name] = tables.get(name), where
-        self.write_json("_tables.json", tables)
-        if old:
-            self._fs.delete(self._path(old), True)
+        pointer = self.read_json(self._pointer(name))
+        self.write_json(self._pointer(name), {"now": where, "before": pointer.get("now")})
+        if pointer.get("before"):
+            self._fs.delete(self._path(pointer["before"]), True)
         return self.read(name)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +88,5 @@ class Catalog:
         return self.write(name, self.read(name).join(rows.select(*keys).distinct(), keys, "left_anti"))
 
     def drop(self, name: str) -> None:
-        tables = self.tables()
-        if tables.pop(name, None):
-            self.write_json("_tables.json", tables)
-        self._fs.delete(self._path(self.checked(name)), True)
+        self._fs.delete(self._path(self._pointer(name)), True)
+        self._fs.delete(self._path(name), True)

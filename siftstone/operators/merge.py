@@ -50,9 +50,13 @@ def remap_relations(relations: DataFrame, mapped: DataFrame) -> DataFrame:
     return remap(was_self, mapped, ["source", "target"]).where("source <> target or __self").drop("__self")
 
 
-def retarget_evidence(evidence: DataFrame, mapped: DataFrame, keys: list[str], fact: str = "fact_id") -> DataFrame:
-    """evidence over merged ids; of rows that now have equal keys one stays."""
-    return remap(evidence, mapped, [fact]).dropDuplicates(keys)
+def retarget_evidence(evidence: DataFrame, mapped: DataFrame, keys: list[str], fact: str = "fact_id", order: list[str] | None = None) -> DataFrame:
+    """evidence over merged ids; of rows that now have equal keys the first by `order` stays (by the other columns where none is given)."""
+    rest = [c for c in evidence.columns if c not in keys]
+    if not rest:
+        return remap(evidence, mapped, [fact]).dropDuplicates(keys)
+    first = F.min(F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order or [])], *rest)).alias("__first")
+    return remap(evidence, mapped, [fact]).groupBy(*keys).agg(first).select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*evidence.columns)
 
 
 def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:

@@ -24,9 +24,12 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
     """(query_id, id, score > 0): statistics over docs as given (filter first), k1 1.5, b 0.75."""
-    index = postings(docs, id_col, text_col)
     stats = docs.select(F.size(T.tokens(F.col(text_col))).alias("len")).agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avg_len"))
-    wanted = query_terms(queries, query_id, query_text)
+    return bm25_index(postings(docs, id_col, text_col), stats, query_terms(queries, query_id, query_text))
+
+
+def bm25_index(index: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    """bm25() over an inverted index (id, term, tf, len), stored or not, its one row of statistics (n, avg_len), and query terms (query_id, term, weight)."""
     matched = index.join(wanted.select("term").distinct(), "term")
     frequency = matched.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -148,27 +148,20 @@ class KnowledgeBase:
         return {"steps": self.catalog.read_json(RUN), "tables": sorted(self.catalog.tables()), "modes": self.recipe.unlocks()}
 
     def query(self, queries: DataFrame, mode: str = "full_text_search", k: int = 10) -> DataFrame:
-        """(query_id, mode, rank, id, score, text, document_id, page_index) of queries (query_id, text)."""
-        if mode not in self.recipe.unlocks() and mode != "hybrid_search":
+        """(query_id, mode, rank, id, score, text, document_id, page_index) of queries (query_id, text), by the engine registered for mode."""
+        engine = ENGINES.get(mode)
+        if engine is None:
+            raise ValueError(f"no mode {mode}")
+        if not set(engine.needs) <= set(self.recipe.unlocks()):
             raise ValueError(f"mode {mode} needs steps that this recipe lacks")
-        chunks = self.catalog.read("chunks").where(F.trim("text") != "")
-        if mode == "hybrid_search":
-            parts = [self.query(queries, m, modes.depth(k)).withColumn("list_no", F.lit(i)).withColumn("weight", F.lit(1.0)) for i, m in enumerate(("vector_search", "full_text_search"))]
-            ranked = search.fused_top(parts[0].unionByName(parts[1]), k)
-        elif mode == "vector_search":
-            numbered = self.catalog.read("chunk_vectors").select(F.xxhash64("chunk_id").alias("id"), "chunk_id", "vector")
-            asked = embed(queries.select("query_id", "text"), "text", self.parts.embedder, "query_vector")
-            ranked = modes.hits(numbered, asked, k).join(numbered.select("id", "chunk_id"), "id").select("query_id", F.col("chunk_id").alias("id"), "score", "rank")
-        elif mode == "full_text_search":
-            ranked = search.top_k(search.bm25(chunks, queries, "chunk_id", "text", "query_id", "text"), k)
-        else:
-            lower = F.lower("text")
-            asked = queries.select("query_id", F.lower("text").alias("asked"))
-            met = chunks.select(F.col("chunk_id").alias("id"), lower.alias("t")).join(asked, F.col("t").contains(F.col("asked")))
-            ranked = search.top_k(met.select("query_id", "id", F.when(F.col("t") == F.col("asked"), 1.0).otherwise(0.5).alias("score")), k)
-        named = ranked.join(chunks.select(F.col("chunk_id").alias("id"), "text", "document_id", "page_index"), "id")
+        ranked = engine.run(self, queries, k)
+        named = ranked.join(self.searched().select(F.col("chunk_id").alias("id"), "text", "document_id", "page_index"), "id")
         return named.select("query_id", F.lit(mode).alias("mode"), F.col("rank").cast("bigint").alias("rank"), "id", "score", "text", "document_id", "page_index")
 
+    def searched(self) -> DataFrame:
+        """The chunks that modes search: those that aren't blank."""
+        return self.catalog.read("chunks").where(F.trim("text") != "")
+
     def delete_plan(self) -> list[str]:
         return [f"table {t}" for t in sorted(self.catalog.tables())] + [f"record {RUN}"]
 
@@ -182,3 +175,50 @@ class KnowledgeBase:
                 failed.append(f"{name}: {error}")
         self.catalog.write_json(RUN, {})
         return failed
+
+
+@dataclass(frozen=True)
+class Engine:
+    """Answers a mode: run(kb, queries (query_id, text), k) -> (query_id, id, score, rank); needs: the modes that its steps unlock."""
+
+    needs: tuple[str, ...]
+    run: Callable[[KnowledgeBase, DataFrame, int], DataFrame]
+
+
+def vector_engine(kb: KnowledgeBase, queries: DataFrame, k: int) -> DataFrame:
+    vectors = kb.catalog.read("chunk_vectors").select(F.col("chunk_id").alias("id"), "vector")
+    return modes.hits(vectors, embed(queries.select("query_id", "text"), "text", kb.parts.embedder, "query_vector"), k)
+
+
+def full_text_engine(kb: KnowledgeBase, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 over the stored postings; no text is read but to count the chunks."""
+    index = kb.catalog.read("postings")
+    stats = kb.searched().agg(F.count("*").alias("n")).crossJoin(F.broadcast(index.agg(F.sum("tf").alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_len"))
+    return search.top_k(search.bm25_index(index, stats, search.query_terms(queries, "query_id", "text")), k)
+
+
+def substring_engine(kb: KnowledgeBase, queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.select("query_id", F.lower("text").alias("asked"))
+    met = kb.searched().select(F.col("chunk_id").alias("id"), F.lower("text").alias("t")).join(asked, F.col("t").contains(F.col("asked")))
+    return search.top_k(met.select("query_id", "id", F.when(F.col("t") == F.col("asked"), 1.0).otherwise(0.5).alias("score")), k)
+
+
+def hybrid_engine(kb: KnowledgeBase, queries: DataFrame, k: int) -> DataFrame:
+    parts = [run(kb, queries, modes.depth(k)).select("query_id", "id", "rank", F.lit(i).alias("list_no"), F.lit(1.0).alias("weight")) for i, run in enumerate((vector_engine, full_text_engine))]
+    return search.fused_top(parts[0].unionByName(parts[1]), k)
+
+
+#: Engines by mode; register_engine adds to them.
+ENGINES: dict[str, Engine] = {
+    "vector_search": Engine(("vector_search",), vector_engine),
+    "full_text_search": Engine(("full_text_search",), full_text_engine),
+    "sql_text_search": Engine(("sql_text_search",), substring_engine),
+    "hybrid_search": Engine(("vector_search", "full_text_search"), hybrid_engine),
+}
+
+
+def register_engine(mode: str, engine: Engine) -> None:
+    """Make KnowledgeBase.query answer a mode of one's own."""
+    if mode in ENGINES:
+        raise ValueError(f"mode {mode} has an engine")
+    ENGINES[mode] = engine

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style footer nav aside iframe button noscript form select option header".split())
+DROPPED = frozenset("aside button footer form header iframe nav noscript option script select style".split())
 ROOTS = ({"main", "article"}, {"main", "content", "main-content", "article"}, {"main", "content", "main-content", "article", "post-content", "entry-content", "markdown-body", "document"})
 NOISE = frozenset(
     "advert advertisement banner breadcrumb comment cookie footer header menu modal nav newsletter pagination popup recommended related share sidebar sidenav social subscribe topnav".split()
@@ -129,7 +129,12 @@ def table_text(node: Node) -> str:
 
 
 def _walk(node: Node, base: str, out: list[str], seen: set[str]) -> None:
-    for child in node.children:
+    todo = [iter(node.children)]
+    while todo:
+        child = next(todo[-1], None)
+        if child is None:
+            todo.pop()
+            continue
         if isinstance(child, str):
             if child.strip():
                 out.append(child.strip())
@@ -162,7 +167,7 @@ def _walk(node: Node, base: str, out: list[str], seen: set[str]) -> None:
             url = urljoin(base, raw.strip())
             if url and ".svg" not in url.lower():
                 out.append(f"Background image: {url}")
-        _walk(child, base, out, seen)
+        todo.append(iter(child.children))
 
 
 def extract(html: str | None, base: str = "") -> tuple[str | None, str | None, str | None]:
@@ -191,7 +196,7 @@ def extract_pages(pages: DataFrame, keys: list[str], html_col: str = "html", url
             for html, url in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
                 try:
                     found.append(extract(html, url or ""))
-                except (AssertionError, RecursionError, ValueError):
+                except (AssertionError, ValueError):
                     found.append((None, None, None))
             columns = [pa.array(x, pa.string()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *columns], [*keys, "title", "description", "text"])

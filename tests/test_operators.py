@@ -33,13 +33,13 @@ def test_sections():
 def test_html():
     page = """<html><head><title>T &amp; x</title><meta name="description" content="About"><style>p{}</style></head><body><nav>menu</nav><!-- no -->
     <article><h1>Head</h1><p>%s</p><div class="share social">noise</div><img alt="A" src="/a.png"><img src="/logo.png"><img src="/s.png" width="10" height="10">
-    <table><caption>Cap</caption><tr><th>Model</th><th>Score</th></tr><tr><td>a</td><td></td></tr></table><div style="background:url('b.jpg')">in</div>
+    <table><caption>Harvest</caption><tr><th>Field</th><th>Sacks</th></tr><tr><td>north</td><td></td></tr></table><div style="border: 0; background-image:url('b.jpg')">in</div>
     <picture><source srcset="s1.png 1x, s2.png 2x"></picture><script>bad()</script></article></body></html>""" % ("word " * 60)
     title, description, text = html.extract(page, "http://h/x/")
     assert title == "T & x" and description == "About"
     lines = text.split("\n")
     assert lines[:3] == ["Title: T & x", "Description: About", "Head"]
-    for line in ("Image: A (http://h/a.png)", "Table: Cap", "Model | Score", "a", "Background image: http://h/x/b.jpg", "Image source: http://h/x/s2.png"):
+    for line in ("Image: A (http://h/a.png)", "Table: Harvest", "Field | Sacks", "north", "Background image: http://h/x/b.jpg", "Image source: http://h/x/s2.png"):
         assert line in lines
     assert not any(w in text for w in ("menu", "noise", "bad()", "logo", "s.png"[:0] or "http://h/s.png"))
     assert html.extract(None) == (None, None, None) and html.extract("")[2] == ""
@@ -197,15 +197,15 @@ def test_models(spark):
 
 
 def test_extraction(spark):
-    chunks = spark.createDataFrame([("d", "c1", "Alice knows Bob"), ("d", "c2", "broken")], "document_id string, chunk_id string, text string")
+    chunks = spark.createDataFrame([("d", "c1", "Otto knows Vera"), ("d", "c2", "broken")], "document_id string, chunk_id string, text string")
 
     def answer(prompt):
         if "broken" in prompt:
             return "sorry"
-        return json.dumps({"entities": [{"name": "Alice", "type": "person"}, {"name": "Bob", "type": "person"}, {"name": ""}], "relations": [{"source": "alice", "target": "BOB", "type": "knows"}, {"source": "Alice", "target": "Carol", "type": "knows"}]})
+        return json.dumps({"entities": [{"name": "Otto", "type": "person"}, {"name": "Vera", "type": "person"}, {"name": ""}], "relations": [{"source": "otto", "target": "VERA", "type": "knows"}, {"source": "Otto", "target": "Emil", "type": "knows"}]})
 
     entities, relations, issues = extraction.extract(chunks, RuleModel(answer))
-    assert sorted(r["name"] for r in entities.collect()) == ["Alice", "Bob"] and relations.count() == 1 and issues.count() == 2
+    assert sorted(r["name"] for r in entities.collect()) == ["Otto", "Vera"] and relations.count() == 1 and issues.count() == 2
     kept, left = extraction.constrain(entities, relations, spark.createDataFrame([("Place",)], "type string"))
     assert kept.count() == 0 and left.count() == 0
 
