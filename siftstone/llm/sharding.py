@@ -5,7 +5,8 @@ balanced Feistel network over the least power of four that holds all numbers, wa
 them; position p goes to shard p % shards, slot p // shards. Anyone who knows the row count, the seed and a row's number
 can compute its place, and the inverse gives the row of any place.
 
-Only ids and hashes are sorted globally. Rows that occur once meet their number by a join; of wholly equal rows, however
+Only ids and hashes are sorted globally. Rows that occur once meet their number by a sorted join, at any size;
+of wholly equal rows, however
 many, one copy travels, and is given all their numbers. A shard is written in slot order, in as many partitions as its
 bytes need, so that no task grows with the table.
 
@@ -106,7 +107,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
         return pd.Series(permute(number.to_numpy(), total, seed))
 
     table = materialize(numbered.select(F.struct("a", "b").alias(key), first_row("start", "part").alias(start_name), "n"))
-    single = sized_join(keyed, table.where("n = 1").drop("n"), key, "inner", 96)
+    single = keyed.join(table.where("n = 1").drop("n").hint("merge"), key)
     if repeated:
         again = table.where("n > 1")
         chunks = again.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(CHUNK).cast("bigint"))).alias("from"), start_name, "n")
