@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain versions, the library, or held-out labels."""
 
+import time
 from pathlib import Path
 
 import brute
@@ -148,6 +149,36 @@ def test_near_blocks(spark, monkeypatch):
     assert len(set(parent)) == 4
 
 
+def test_near_block_work():
+    """Links of blocks of near copies, against sets; a pair of full blocks takes a fraction of a second."""
+    rng = np.random.default_rng(14)
+
+    def block(n, most):
+        base = rng.integers(1, 1 << 60, 400)
+        sets = []
+        for _ in range(n):
+            x = base[: rng.integers(most, 401)].copy()
+            edited = rng.random(len(x)) < rng.choice([0.02, 0.1, 0.25])
+            x[edited] = rng.integers(1, 1 << 60 if n > 200 else 50, edited.sum())
+            sets.append(np.unique(x))
+        return sets, np.concatenate(sets).astype(np.uint64), np.repeat(np.arange(n), [len(x) for x in sets])
+
+    sets, hashes, doc = block(90, 20)
+    side = rng.integers(0, 3, 90)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    near = lambda x, y: len(x & y) >= 0.7 * min(len(x), len(y)) - 1e-9 and max(len(x), len(y)) <= 1.25 * min(len(x), len(y)) + 1e-9
+    plain = [set(x.tolist()) for x in sets]
+    want = {(x, y) for x in left for y in right if x != y and near(plain[x], plain[y])}
+    assert set(zip(*near_dedup.links_within(hashes, doc, 90, left, right), strict=True)) == want and len(want) > 100
+    _, hashes, doc = block(1024, 400)
+    times = []
+    for _ in range(3):
+        began = time.perf_counter()
+        x, _ = near_dedup.links_within(hashes, doc, 1024, np.arange(512), np.arange(512, 1024))
+        times.append(time.perf_counter() - began)
+    assert len(x) > 100_000 and min(times) < 0.4
+
+
 def test_pieces_as_the_library(spark):
     import sentencepiece
 
