@@ -179,6 +179,14 @@ def test_near_block_work():
     assert len(x) > 100_000 and min(times) < 0.4
 
 
+def test_bit_table_grows(spark, monkeypatch):
+    """A bit table of more values than the least table has bits still tells most others apart, and loses none."""
+    monkeypatch.setattr(common, "BITS", 20)
+    table = common.bit_table(spark.range(400_000).selectExpr("xxhash64(id) as key"), "key", 400_000)
+    told = [np.array(spark.range(n, n + 400_000).selectExpr("xxhash64(id) as key").toPandas()["key"]).view(np.uint64) for n in (0, 400_000)]
+    assert len(common.in_table(table, told[0])) == 400_000 and len(common.in_table(table, told[1])) < 40_000
+
+
 def test_pieces_as_the_library(spark):
     import sentencepiece
 
