@@ -149,6 +149,24 @@ def test_near_blocks(spark, monkeypatch):
     assert len(set(parent)) == 4
 
 
+def test_near_hot_decoys(spark, monkeypatch):
+    """A container is found among many larger sets that have as many of a query's hot keys but too few of its shingles."""
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(5000)]
+    query = list(rng.choice(words, 40, replace=False))
+    rows = []
+    for _ in range(100):
+        edited = list(query)
+        for at in 3 * rng.choice(12, 4, replace=False) + 3:
+            edited[at] = "edited"
+        rows.append([*edited, *rng.choice(words, 200)])
+    rows += [query, [*query[:36], *rng.choice(words, 60)]]
+    rows = [(d, " ".join(x)) for d, x in enumerate(rows)]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.near_classes(rows) and got[100] == (101, 1)
+
+
 def test_near_block_work():
     """Links of blocks of near copies, against sets; a pair of full blocks takes a fraction of a second."""
     rng = np.random.default_rng(14)
