@@ -71,21 +71,17 @@ def near_links(rows, t=0.7):
 
 
 def near_classes(rows, ratio=1.25):
-    """{doc_id: (class_id, links)}: components of links within the ratio; smaller sets of other links go to their best container's group."""
+    """{doc_id: (class_id, links)}: components of links within the ratio; smaller sets of other links go to their best container's group. All links are counted."""
     links, order, sets = near_links(rows)
     first = [min(sets[x]) for x in order]
     count = [0] * len(order)
     holder = {}
     for small, large, share in links:
-        if len(order[large]) <= ratio * len(order[small]) + 1e-9:
-            count[small] += 1
-            count[large] += 1
+        count[small] += 1
+        count[large] += 1
         if len(order[large]) > ratio * len(order[small]) + 1e-9:
             holder.setdefault(small, []).append((-share, -len(order[large]), first[large], large))
     holder = {k: min(v)[3] for k, v in holder.items()}
-    for small, large in holder.items():
-        count[small] += 1
-        count[large] += 1
     parent = list(range(len(order)))
 
     def root(x):

@@ -149,6 +149,17 @@ def test_near_blocks(spark, monkeypatch):
     assert len(set(parent)) == 4
 
 
+def test_near_all_links(spark):
+    """An excerpt is linked to every text that holds it, not only to its best container."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    short, longer = list(rng.choice(words, 30)), list(rng.choice(words, 150))
+    rows = [[*rng.choice(words, 40 + 30 * k), *short, *longer[: 120 + 10 * (k % 3)], *rng.choice(words, 90)] for k in range(6)] + [short, longer]
+    rows = [(d, " ".join(x)) for d, x in enumerate(rows)]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.near_classes(rows) and got[6][1] == got[7][1] == 6
+
+
 def test_near_hot_decoys(spark, monkeypatch):
     """A container is found among many larger sets that have as many of a query's hot keys but too few of its shingles."""
     monkeypatch.setattr(near_dedup, "HOT", 3)
