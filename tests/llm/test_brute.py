@@ -178,6 +178,33 @@ def test_near_hot_decoys(spark, monkeypatch):
     assert got == brute.near_classes(rows) and got[100] == (101, 1)
 
 
+def test_near_frequent(spark, monkeypatch):
+    """Short texts that stand in most documents: their links and best containers are right, in several passes and pieces, without a row for each pair."""
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    monkeypatch.setattr(near_dedup, "FREQUENT", 40)
+    monkeypatch.setattr(near_dedup, "SETS", 5)
+    monkeypatch.setattr(near_dedup, "STEP", 20)
+    seen = []
+    whole = near_dedup.containers
+    monkeypatch.setattr(near_dedup, "containers", lambda *x: seen.append(whole(*x)) or seen[-1])
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(5000)]
+    phrases = [list(rng.choice(words, n, replace=False)) for n in (3, 9, 14, 20, 30, 45)]
+    rows = []
+    for k in range(50):
+        some = [list(phrases[p]) for p in rng.permutation(6)[: rng.integers(2, 6)]]
+        if k % 3 == 0 and len(some[0]) > 6:
+            some[0][len(some[0]) // 2] = "edited"
+        rows.append([w for x in [*some, list(rng.choice(words, 60 + 7 * (k % 5)))] for w in x])
+    rows += [rows[4], rows[5]] + phrases + phrases[:3] + [phrases[2] + phrases[1], phrases[3][:15], [*phrases[4][:25], "of", "its", "own"]]
+    rows = [(f"d{d}", " ".join(rows[d])) for d in rng.permutation(len(rows))] + [("d4", " ".join(rows[4]))] * 2
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = brute.near_classes(rows)
+    assert got == want and sum(n for _, n in want.values()) > 500
+    made = [r for r in seen[0].collect() if r["holder"] is not None]
+    assert sum(r["links"] for r in made) > 2 * len(made)
+
+
 def test_near_block_work():
     """Links of blocks of near copies, against sets; a pair of full blocks takes a fraction of a second."""
     rng = np.random.default_rng(14)
