@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.operators import scoring, search
+from siftstone.operators import fulltext, scoring, search
 from siftstone.operators.knn import nearest
 from siftstone.plans.base import query, table
-from siftstone.plans.text_queries import ALL_TERMS_SQL, bm25_scores, bm25_sql, top_sql
+from siftstone.plans.text_queries import ALL_TERMS_SQL, bm25_sql, best_passages, top_sql
 from siftstone.plans.vector_queries import knn_sql, sides
 
 DEPTH, TOP = 30, 10
@@ -21,8 +21,8 @@ lists AS (SELECT 1 AS list_no, * FROM ({top_sql('scored', DEPTH)}) UNION ALL SEL
 def lists(spark: SparkSession, sf_dir: str, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(query_id, list_no, rank, id, score, weight): BM25 and all-terms rankings of every benchmark passage."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = (bm25_scores(spark, sf_dir), search.all_terms_rank(docs, asked, "doc_id", "text", "item_id", "text"))
-    ranked = [search.top_k(x.withColumn("score", F.round("score", 6)), DEPTH).withColumn("list_no", F.lit(i + 1)).withColumn("weight", F.lit(w)) for i, (x, w) in enumerate(zip(found, weights, strict=True))]
+    found = fulltext.rankings(docs, asked, "doc_id", "text", "item_id", "text", DEPTH, ("bm25", "all_terms"))
+    ranked = [x.withColumn("list_no", F.lit(i + 1)).withColumn("weight", F.lit(w)) for i, (x, w) in enumerate(zip(found, weights, strict=True))]
     return ranked[0].unionByName(ranked[1])
 
 
@@ -112,7 +112,7 @@ SELECT b.item_id, (count(*) FILTER (contains(lower(d.text), lower(b.text))) > 0)
 FROM benchmark b LEFT JOIN top t USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY b.item_id""")
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a top document holds the passage asked for: evidence by text, answers by containment."""
-    top = search.top_k(bm25_scores(spark, sf_dir).withColumn("score", F.round("score", 6)), TOP).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    top = search.with_rows(best_passages(spark, sf_dir, TOP), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("evidence_id"), F.col("text").alias("expected"), F.lit(None).cast("string").alias("locator"))
     recall = scoring.evidence_recall(wanted, top.withColumn("found_locator", F.lit(None).cast("string")))
     answers = scoring.answer_contains(wanted.select("query_id", F.col("expected").alias("answer")), top.where("rank = 1").select("query_id", F.col("text").alias("given")))

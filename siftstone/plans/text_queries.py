@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
-from siftstone.operators import search
+from siftstone.operators import fulltext, search
 from siftstone.plans.base import query, table
 
 TOKENS = r"regexp_extract_all(lower(text), '[\pL\pN_]+')"
 SEARCHED, LANGUAGE = "the", "en"
 
 
-def ranked(scored: DataFrame, k: int, id_name: str = "doc_id", query_name: str = "item_id") -> DataFrame:
-    """The k best with scores at six decimals."""
-    best = search.top_k(scored.withColumn("score", F.round("score", 6)), k)
-    return best.select(F.col("query_id").alias(query_name), F.col("rank").cast("bigint").alias("rank"), F.col("id").alias(id_name), "score")
+def named(best: DataFrame) -> DataFrame:
+    return best.select(F.col("query_id").alias("item_id"), F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
 def bm25_sql(where: str = "true") -> str:
@@ -47,8 +45,8 @@ lexical AS (
 )"""
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return search.bm25(table(spark, sf_dir, "documents").where(where), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+def best_passages(spark: SparkSession, sf_dir: str, k: int, where: str = "true", kind: str = "bm25") -> DataFrame:
+    return fulltext.rankings(table(spark, sf_dir, "documents").where(where), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k, (kind,))[0]
 
 
 @query("SELECT doc_id, 'doc_' || substr(sha256(text), 1, 16) AS document_id FROM documents")
@@ -77,13 +75,13 @@ def term_df_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql()} {top_sql('scored', 10)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(bm25_scores(spark, sf_dir), 10)
+    return named(best_passages(spark, sf_dir, 10))
 
 
 @query(f"WITH {bm25_sql(f"lang = '{LANGUAGE}'")} {top_sql('scored', 10)}")
 def bm25_filtered_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over the filtered records, as the metadata filter comes first."""
-    return ranked(bm25_scores(spark, sf_dir, f"lang = '{LANGUAGE}'"), 10)
+    return named(best_passages(spark, sf_dir, 10, f"lang = '{LANGUAGE}'"))
 
 
 @query(f"SELECT doc_id, CASE WHEN lower(text) = '{SEARCHED}' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM documents WHERE lower(text) LIKE '%{SEARCHED}%'")
@@ -93,7 +91,7 @@ def sql_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ALL_TERMS_SQL} {top_sql('lexical', 10)}")
 def all_terms_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(search.all_terms_rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text"), 10)
+    return named(best_passages(spark, sf_dir, 10, kind="all_terms"))
 
 
 @query("SELECT conv_id, turn, 'chunk_' || substr(sha256(concat_ws(chr(10), conv_id, turn, 0, text)), 1, 16) AS chunk_id FROM conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftstone.checkpoint import materialize
 from siftstone.functions import text as T
 from siftstone.models import OverlapReranker, rerank
-from siftstone.operators import modes, search, wiki
+from siftstone.operators import fulltext, modes, search, wiki
 from siftstone.operators.numbering import layers, number_rows
 from siftstone.plans.base import query, table
 from siftstone.plans.rank_queries import DEPTH, LISTS_SQL, lists
@@ -56,13 +56,14 @@ def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = search.top_k(search.fuse(lists(spark, sf_dir)), 2 * DEPTH, order=[F.desc("score"), F.asc("first_list"), F.asc("first_rank")])
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = fused.select("query_id", "id", F.col("rank").alias("place")).join(asked, "query_id").join(texts, "id")
+    rows = fused.select("query_id", "id", F.col("rank").alias("place")).join(asked, "query_id")
+    rows = search.with_rows(rows, texts, "id")
     return rerank(rows, OverlapReranker(), 2 * DEPTH).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def _find(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents")
-    return lambda asked: search.top_k(search.bm25(docs, asked, "doc_id", "text", "query_id", "text").withColumn("score", F.round("score", 6)), 10)
+    return lambda asked: fulltext.rankings(docs, asked, "doc_id", "text", "query_id", "text", 10)[0]
 
 
 @query()
@@ -85,7 +86,7 @@ def multihop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = found.join(before, ["query_id", "id"], "left_anti")
         used.append(materialize(search.top_k(found, 1).select("query_id", "id")))
         known = asked.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("known"))
-        met = used[-1].join(docs, "id").join(known, "query_id")
+        met = search.with_rows(used[-1], docs, "id").join(known, "query_id")
         fresh = F.filter("said", lambda w: ~F.array_contains("known", w))
         return met.select("query_id", F.array_join(fresh, " ").alias("text")).where("text <> ''")
 
