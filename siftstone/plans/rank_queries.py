@@ -101,9 +101,8 @@ FROM ideal LEFT JOIN got USING (query_id, k)"""
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five metrics at five depths for every vector as a query; vectors of the same label are relevant."""
     vectors, asked = sides(spark, sf_dir)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    qrels = rows.alias("a").join(rows.alias("b"), "label").where("a.vec_id <> b.vec_id").select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("id"), F.lit(1).alias("relevance"))
-    scored = search.metrics(nearest(vectors, asked, 100, others=True), qrels)
+    classes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"))
+    scored = search.metrics_within(nearest(vectors, asked, 100, others=True), classes)
     return scored.select("query_id", "k", *[F.round(m, 6).alias(m) for m in ("ndcg", "map", "recall", "precision", "mrr")])
 
 

@@ -81,7 +81,7 @@ def knn_within_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.{DOUBLES}, b.{DOUBLES}), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.{DOUBLES}, b.{DOUBLES}), 6) >= 0.5")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs(*sides(spark, sf_dir), None, least=0.5).where("query_id < id")
+    found = pairs(*sides(spark, sf_dir), None, least=0.5, once=True)
     return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 

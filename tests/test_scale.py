@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftstone.operators import fulltext, search
+from siftstone.operators import fulltext, knn, search
 from siftstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,44 @@ def test_texts_meet_few_rows_where_they_lie(spark):
     docs = spark.createDataFrame([(i, "x" * 9) for i in range(9)], "id bigint, text string")
     met = search.with_rows(docs.where("id < 2").select("id"), docs, "id")
     assert met.count() == 2 and "BroadcastHashJoin" in plan(met)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("k,least,others,once", [(3, None, False, False), (3, None, True, False), (40, 0.1, True, False), (None, 0.3, False, True)])
+def test_streamed_block(monkeypatch, metric, k, least, others, once):
+    """Tiles smaller than blocks, equal vectors, a zero vector: the hits of one plain product."""
+    for name, n in (("ROWS", 7), ("COLUMNS", 13), ("EXACT", 5)):
+        monkeypatch.setattr(knn, name, n)
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, (60, 4)).astype(float)
+    v[5] = 0
+    block, ids = knn._Block(k, metric, least, others, once), np.arange(60)
+    arrow = pa.array(v.tolist(), pa.list_(pa.float64()))
+    block.ask(pa.array(ids[:20]), arrow[:20])
+    block.ask(pa.array(ids[20:40]), arrow[20:40])
+    out = [b for at in (0, 30) for b in block.meet(pa.array(ids[at : at + 30]), arrow[at : at + 30])] + list(block.finish())
+    found = sorted((q, i, round(s, 6) + 0.0) for b in out for q, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    score = np.round(knn.similarities(v[:40], v, metric), 6)
+    want = []
+    for q in range(40):
+        fit = [i for i in range(60) if (least is None or score[q, i] >= least) and not (others and i == q) and not (once and i <= q)]
+        want += [(q, i, score[q, i] + 0.0) for i in sorted(fit, key=lambda i: (-score[q, i], i))[:k]]
+    assert found == sorted(want)
+
+
+def test_metrics_within_classes(spark):
+    """The same as with every pair of a class written out, without writing them."""
+    classes = spark.createDataFrame([(i, i % 3) for i in range(20)] + [(20, 7), (21, None)], "id bigint, class int")
+    ranked = spark.createDataFrame([(q, (q * 5 + r * r) % 21, r) for q in range(21) for r in range(1, 7)], "query_id bigint, id bigint, rank int")
+    a, b = classes.alias("a"), classes.alias("b")
+    qrels = a.join(b, "class").where("a.id <> b.id").selectExpr("a.id query_id", "b.id id", "1 relevance")
+    got, want = (sorted((r["query_id"], r["k"], *[round(x, 9) for x in r[2:]]) for r in x.collect()) for x in (search.metrics_within(ranked, classes), search.metrics(ranked, qrels)))
+    assert got == want and len(got) == 100
+
+
+def test_metrics_of_grades(spark):
+    """Graded relevance: the ideal order has the better ones first, and more relevant documents than the deepest place."""
+    ranked = spark.createDataFrame([("q", "b", 1), ("q", "a", 2)], "query_id string, id string, rank int")
+    qrels = spark.createDataFrame([("q", "a", 2), ("q", "b", 1), ("q", "c", 1), ("q", "d", 1)], "query_id string, id string, relevance int")
+    row = search.metrics(ranked, qrels, (2,)).first()
+    assert round(row["ndcg"], 6) == round((1 + 3 / np.log2(3)) / (3 + 1 / np.log2(3)), 6) and row["recall"] == 0.5
