@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftstone.operators import fulltext, knn, search
+from siftstone.operators import fulltext, graph, knn, paths, search
 from siftstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +104,45 @@ def test_metrics_of_grades(spark):
     qrels = spark.createDataFrame([("q", "a", 2), ("q", "b", 1), ("q", "c", 1), ("q", "d", 1)], "query_id string, id string, relevance int")
     row = search.metrics(ranked, qrels, (2,)).first()
     assert round(row["ndcg"], 6) == round((1 + 3 / np.log2(3)) / (3 + 1 / np.log2(3)), 6) and row["recall"] == 0.5
+
+
+@pytest.mark.parametrize("ends", [10**9, 0])
+def test_paths_from_both_ends(spark, monkeypatch, ends):
+    """In a task's memory or as tables: lengths and least paths as a plain search has them; nodes without edges, parts that aren't joined."""
+    monkeypatch.setattr(paths, "ENDS", ends)
+    rng = np.random.default_rng(11)
+    links = {tuple(sorted(p)) for p in rng.integers(0, 20, (24, 2)).tolist() if p[0] != p[1]} | {(20, 21), (21, 22), (22, 23), (23, 24)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def best(a, b):
+        seen, level = {a}, [[a]]
+        while level:
+            if hit := [p for p in level if p[-1] == b]:
+                return min(hit)
+            level = [[*p, n] for p in level for n in near.get(p[-1], ()) if n not in seen]
+            seen |= {p[-1] for p in level}
+        return None
+
+    wanted = [(a, b) for a in (0, 3, 7, 20, 24, 30) for b in range(32)]
+    edges, asked = spark.createDataFrame(sorted(links), "source bigint, target bigint"), spark.createDataFrame(wanted, "source bigint, target bigint")
+    steps = {(r["source"], r["target"]): r["steps"] for r in graph.path_lengths(edges, asked).collect()}
+    assert steps == {(a, b): (lambda p: p and len(p) - 1)(best(a, b)) for a, b in wanted} and max(filter(None, steps.values())) > 3
+    found = {(r["source"], r["target"]): r["path"] for r in graph.shortest_paths(edges, asked).collect()}
+    assert found == {(a, b): best(a, b) or [a, b] for a, b in wanted}
+
+
+def test_search_looks_at_the_lesser_side():
+    """A hub on one side: its neighbours' neighbours are never read."""
+    n = 3000
+    lists = {0: list(range(1, n)), **{i: [0] for i in range(1, n)}}
+    lists[1], lists[n], lists[n + 1] = [0, n], [1, n + 1], [n]
+    start = np.concatenate([[0], np.cumsum([len(lists[i]) for i in range(n + 2)])])
+    g = paths.Graph(start, np.array([x for i in range(n + 2) for x in lists[i]], np.int32))
+    g.prepare()
+    read = []
+    around = g._around
+    g._around = lambda nodes: read.append(int(g.size[nodes].sum())) or around(nodes)
+    assert g.search(n + 1, 0, False) == (3, []) and sum(read) < 10
