@@ -178,33 +178,44 @@ def hierarchy(know: Knowledge, queries: DataFrame, branch: str = "full", k: int
     """Hierarchical mode: entity hits with, by branch, their communities (global), relations and chunks (local), and the
     path that joins the key entities, with the edges among its nodes (bridge); nobridge has local and global, full all.
     """
-    wide = k if branch in ("local", "nobridge") else 10 * k
-    found = hits(know.entities, queries, wide)
+    wide = 10 * k if branch in ("global", "full") else k
+    found = materialize(hits(know.entities, queries, wide))
+    held = materialize(know.relations.select("id", "source", "target", "weight"))
     top = found.where(F.col("rank") <= k)
     out = [section(top, "entity", [F.asc("rank")])]
     if branch in ("local", "nobridge", "full"):
-        near = top.select("query_id", F.col("id").alias("node")).join(_edges(know.relations), "node").select("query_id", "id").distinct()
-        ranked = near.join(graph.edge_ranks(know.relations), "id")
-        out.append(section(ranked.withColumn("score", F.col("rank")), "relation", [F.desc("rank"), F.desc("weight"), F.asc("id")], relations))
+        order = [F.desc("score"), F.desc("weight"), F.asc("id")]
+        ranked = graph.edge_ranks(held).withColumnRenamed("rank", "score")
+        first = materialize(search.top_k(graph.ends(ranked, "id", "weight", "score"), relations, "node", order).select("node", "id", "weight", "score"))
+        near = top.select("query_id", F.col("id").alias("node")).join(first, "node").select("query_id", "id", "weight", "score").distinct()
+        out.append(section(near, "relation", order, relations))
         out.append(chunk_section(top, know.fact_chunks, chunks))
     if branch in ("global", "nobridge", "full"):
         out.append(community_section(found, know.members, know.reports, communities))
     if branch in ("bridge", "full"):
-        out += bridge(know, found, min(k, 4))
+        out += bridge(know.entities, held, found, min(k, 4))
     return union(*out)
 
 
-def bridge(know: Knowledge, found: DataFrame, keys: int) -> list[DataFrame]:
+def bridge(entities: DataFrame, relations: DataFrame, found: DataFrame, keys: int) -> list[DataFrame]:
     """The path through each query's first `keys` entities, and the relations between its nodes."""
-    nodes = know.entities.select(F.col("id").alias("node"))
-    known = graph.induced(know.relations, nodes)
+    known = materialize(graph.induced(relations, entities.select(F.col("id").alias("node"))))
     chosen = found.where(F.col("rank") <= keys).select("query_id", "rank", "id")
-    steps = chosen.select("query_id", "rank", F.col("id").alias("source")).join(chosen.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("id").alias("target")), ["query_id", "rank"])
+    steps = materialize(chosen.select("query_id", "rank", F.col("id").alias("source")).join(chosen.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("id").alias("target")), ["query_id", "rank"]))
     paths = steps.join(graph.shortest_paths(known, steps), ["source", "target"])
-    walked = paths.select("query_id", "rank", F.posexplode("path").alias("at", "id")).groupBy("query_id", "id").agg(F.min(F.struct("rank", "at")).alias("seen")).select("query_id", "id", "seen.*", F.lit(1.0).alias("score"))
-    on = walked.select("query_id", "id")
-    inner = known.join(on.withColumnRenamed("id", "source"), "source").join(on.withColumnRenamed("id", "target"), ["query_id", "target"]).select("query_id", "id", F.col("weight").alias("score"))
-    return [section(walked, "path", [F.asc("rank"), F.asc("at")]), section(inner, "path_relation", [F.desc("score"), F.asc("id")])]
+    walked = materialize(paths.select("query_id", "rank", F.posexplode("path").alias("at", "id")).groupBy("query_id", "id").agg(F.min(F.struct("rank", "at")).alias("seen")).select("query_id", "id", "seen.*", F.lit(1.0).alias("score")))
+    return [section(walked, "path", [F.asc("rank"), F.asc("at")]), section(_among(known, walked.select("query_id", "id")), "path_relation", [F.desc("score"), F.asc("id")])]
+
+
+def _among(known: DataFrame, on: DataFrame) -> DataFrame:
+    """(query_id, id, score) of relations between nodes (query_id, id) of one query: by its pairs of nodes, or by its nodes' relations where those are fewer."""
+    degree = known.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("degree"))
+    size = on.join(degree, "id", "left").groupBy("query_id").agg((F.count("*") * F.count("*") <= F.coalesce(F.sum("degree"), F.lit(0))).alias("paired"))
+    sized = materialize(on.join(size, "query_id"))
+    targets = on.withColumnRenamed("id", "target")
+    few, many = (sized.where(x).select("query_id", F.col("id").alias("source")) for x in ("paired", "not paired"))
+    met = few.join(targets, "query_id").join(known, ["source", "target"]).unionByName(many.join(known, "source").join(targets, ["query_id", "target"]))
+    return met.select("query_id", "id", F.col("weight").alias("score"))
 
 
 def tree_query(know: Knowledge, queries: DataFrame, k: int = 5, depth_: int = 6, chunks: int = 5) -> DataFrame:
