@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.checkpoint import materialize
 from siftstone.functions import text as T
+from siftstone.functions import vectors as V
 from siftstone.operators.components import components
 from siftstone.operators.knn import pairs
 from siftstone.operators.search import top_k
@@ -67,11 +69,16 @@ def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = vectors / np.where(length == 0, 1, length)
     n = len(unit)
-    d = np.sqrt(np.maximum(((unit[:, None, :] - unit[None, :, :]) ** 2).sum(axis=2), 0))
+    d = np.empty((n, n))
+    for i in range(n):
+        d[i] = np.sqrt(np.maximum(((unit - unit[i]) ** 2).sum(axis=1), 0))
     np.fill_diagonal(d, np.inf)
-    owner, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        a, b = divmod(int(d.argmin()), n)
+    owner, size = np.arange(n), np.ones(n)
+    nearest = d.argmin(axis=1) if n else np.zeros(0, int)
+    least = d[np.arange(n), nearest]
+    for _ in range(n - 1):
+        a = int(least.argmin())
+        b = int(d[a].argmin())
         if not d[a, b] <= distance:
             break
         a, b = min(a, b), max(a, b)
@@ -79,27 +86,39 @@ def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
         d[a], d[:, a] = row, row
         d[a, a] = np.inf
         d[b], d[:, b] = np.inf, np.inf
+        again = np.flatnonzero((nearest == a) | (nearest == b) | (np.arange(n) == a) | (np.arange(n) == b))
+        nearest[again] = d[again].argmin(axis=1)
+        least[again] = d[again, nearest[again]]
+        nearer = d[:, a] < least
+        nearest[nearer], least[nearer] = a, d[nearer, a]
         owner[owner == b] = a
         size[a] += size[b]
-        alive[b] = False
     return owner
 
 
 def semantic_clusters(facts: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9, block: list[str] | None = None) -> DataFrame:
     """(id, cluster): average-linkage clusters within each value of block; cluster is the least id of its members.
 
-    A block is gathered on one task and takes memory by its square: give a key that bounds it (type, batch).
+    Two clusters that merge have a pair of members within the distance, so facts that no chain of such pairs joins can't
+    meet: each such part of a block is clustered on its own. A part is gathered on one task and takes memory by its square.
     """
-    block = block or []
+    block, distance = block or [], 1 - threshold
     kind = dict(facts.dtypes)[id_col]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(np.stack(pdf["vector"].to_numpy()).astype(np.float64), 1 - threshold)]})
-
-    rows = facts.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), *block)
-    return rows.groupBy(*block).applyInPandas(run, f"id {kind}, cluster {kind}")
+        return pd.DataFrame({"id": ids, "cluster": ids[average_linkage(np.stack(pdf["vector"].to_numpy()).astype(np.float64), distance)]})
+
+    rows = facts.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.struct(F.lit(0).alias("__all"), *block).alias("block"))
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "block")
+    close = pairs(rows, asked, None, least=1 - distance**2 / 2 - 2e-6, within="block", once=True).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    # A zero vector is at no distance from others and at 1 from the rest, which the cosine doesn't tell.
+    zero = F.min(F.when(V.norm(F.col("vector")) == 0, F.col("id"))).over(Window.partitionBy("block"))
+    zeros = (rows if distance >= 1 else rows.where(V.norm(F.col("vector")) == 0)).select(F.col("id").alias("a"), zero.alias("b")).where("b is not null")
+    parts = materialize(rows.join(components(close.unionByName(zeros)).select(F.col("key").alias("id"), F.col("component").alias("part")), "id", "left"))
+    alone = parts.where("part is null").select("id", F.col("id").alias("cluster"))
+    return alone.unionByName(parts.where("part is not null").groupBy("block", "part").applyInPandas(run, f"id {kind}, cluster {kind}"))
 
 
 def merge_groups(new: DataFrame, stored: DataFrame, k: int = 8, threshold: float = 0.85) -> DataFrame:

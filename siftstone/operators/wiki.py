@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import text as T
 from siftstone.operators.chunking import sections, split_text
 from siftstone.operators.numbering import number_rows
+from siftstone.session import small_batches
 
 SUMMARY = 280
 
@@ -44,6 +45,7 @@ def slug_of(title: str) -> str:
 def pages(documents: DataFrame, id_col: str = "document_id", name_col: str = "name", text_col: str = "text") -> DataFrame:
     """(page_id, key, document_id, title, summary, text) of each document, numbered in order of its id; the summary is its beginning."""
     shape = "title string, slug string, body string"
+    small_batches(documents)
 
     def build(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
         titles = [title_of(t, n) for t, n in zip(texts, names, strict=True)]
@@ -69,6 +71,7 @@ def chunks(made: DataFrame, size: int = 1024, overlap: int = 50) -> DataFrame:
     The lines count against the window; equal chunks of a page stay once.
     """
     shape = "array<struct<heading_path:array<string>,text:string>>"
+    small_batches(made)
 
     def cut(titles: pd.Series, texts: pd.Series) -> pd.Series:
         out = []

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftstone.operators import fulltext, graph, knn, paths, search
+from siftstone import session
+from siftstone.operators import fulltext, graph, knn, merge, paths, search, wiki
 from siftstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +147,36 @@ def test_search_looks_at_the_lesser_side():
     around = g._around
     g._around = lambda nodes: read.append(int(g.size[nodes].sum())) or around(nodes)
     assert g.search(n + 1, 0, False) == (3, []) and sum(read) < 10
+
+
+@pytest.mark.parametrize("threshold", [0.4, -0.2])
+def test_clusters_by_parts(spark, threshold):
+    """The clusters of whole blocks: two blocks with the same vectors, zero vectors, equal vectors, a null block and a null vector."""
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=(30, 3)), np.zeros((2, 3))])
+    v[7] = v[3]
+    rows = [(i + 100 * b, v[i].tolist(), b or None) for b in (0, 1, 2) for i in range(32 - 10 * b)] + [(900, None, 1)]
+    facts = spark.createDataFrame(rows, "id bigint, v array<double>, b int")
+    got = {r["id"]: r["cluster"] for r in merge.semantic_clusters(facts, "id", "v", threshold, ["b"]).collect()}
+    want = {}
+    for b in (0, 1, 2):
+        n = 32 - 10 * b
+        want |= {i + 100 * b: int(x) + 100 * b for i, x in enumerate(merge.average_linkage(v[:n], 1 - threshold))}
+    assert got == want and 3 < len(set(got.values())) < len(got) if threshold > 0 else got == want
+
+
+def test_clusters_do_not_gather_blocks(spark, monkeypatch):
+    """Far apart facts of one block never stand in one matrix."""
+    rng = np.random.default_rng(13)
+    facts = spark.createDataFrame([(i, (np.eye(20)[i // 2] + rng.normal(size=20) / 100).tolist()) for i in range(40)], "id bigint, v array<double>")
+    found = merge.semantic_clusters(facts, "id", "v", 0.4)
+    assert {r["id"]: r["cluster"] for r in found.collect()} == {i: i // 2 * 2 for i in range(40)}
+    assert "part#" in plan(found)
+
+
+def test_texts_come_in_few_rows(spark):
+    """Long texts: the session's bound on the bytes of an Arrow batch is set before pages are made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    wiki.pages(spark.createDataFrame([(1, "a.md", "x")], "document_id bigint, name string, text string"))
+    assert int(spark.conf.get(key)) == session.BATCH_BYTES
