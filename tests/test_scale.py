@@ -6,6 +6,7 @@ import pytest
 
 from siftstone import session
 from siftstone.operators import fulltext, graph, knn, merge, paths, search, wiki
+from siftstone.operators.components import components
 from siftstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +181,10 @@ def test_texts_come_in_few_rows(spark):
     spark.conf.unset(key)
     wiki.pages(spark.createDataFrame([(1, "a.md", "x")], "document_id bigint, name string, text string"))
     assert int(spark.conf.get(key)) == session.BATCH_BYTES
+
+
+def test_components_of_a_chain_and_a_crowd(spark):
+    """A numbered chain, a dense bipartite part, a pair, a self-loop: few rounds, the least key of each."""
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i, 2000 + (i * 7 + j) % 90) for i in range(60) for j in range(20)] + [(5000, 4000), (7, 7), (4000, 5000)]
+    got = {r["key"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint"), max_rounds=12).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for a, b in links[300:1500] for i in (a, b)} | {4000: 4000, 5000: 4000}
